@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, urls
+from . import langid, packing, simhash, tokens, urls
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), ["doc_id"])
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rules_frame(spark, urls.RULES))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), _vocabulary()))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.remainder() == 2, F.lit(False)))
+    return langid.identify(docs, langid.fit(docs), ["doc_id", "held_out"])
+
+
 def queries() -> dict:
-    return {"op4_urls": op4_urls, "op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op3_tokens, op4_urls, op6_packing, op9_simhash, op10_langid)}
 
 
 def oracle_sql() -> dict:
