@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, tokens, urls
+from . import langid, mixing, packing, pii, simhash, tokens, urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), ["doc_id"])
 
@@ -28,6 +32,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rules_frame(spark, urls.RULES))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = mixing.mix(mixing.sizes(_table(spark, sf_dir, "documents")))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), _vocabulary()))
 
@@ -42,7 +51,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_tokens, op4_urls, op6_packing, op9_simhash, op10_langid)}
+    return {f.__name__: f for f in (op2_pii, op3_tokens, op4_urls, op5_mixing, op6_packing, op9_simhash, op10_langid)}
 
 
 def oracle_sql() -> dict:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -81,6 +80,16 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+#: Rows that small() lets be broadcast.
+FEW = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, with a broadcast hint if it has FEW rows at most; else joins shuffle it."""
+    kept = stash(df, "small")
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | None = None) -> DataFrame:
     """Adds ``rank`` (0, 1, ... within the keys, in a shuffled order) and, with a weight, ``before`` (its sum over lower ranks).
 
@@ -90,7 +99,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | No
     """
     amount = F.col(weight) if weight else F.lit(0).cast("long")
     spread = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("_buckets"))
-    dealt = df.join(spread, keys).withColumn("_hash", F.xxhash64(*order)).withColumn("_bucket", F.pmod("_hash", "_buckets"))
+    dealt = df.join(small(spread), keys).withColumn("_hash", F.xxhash64(*order)).withColumn("_bucket", F.pmod("_hash", "_buckets"))
     starts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum(amount).alias("_w"))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
@@ -102,7 +111,3 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | No
         running = F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", (F.col("_before0") + running).cast("long"))
     return out.drop("_buckets", "_hash", "_bucket", "_rank0", "_before0").withColumn("rank", F.col("rank").cast("long"))
-
-
-def pieces_of(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
