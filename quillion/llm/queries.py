@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, simhash, tokens, urls
+from . import langid, mixing, packing, pii, search, simhash, tokens, urls, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -41,6 +41,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), _vocabulary()))
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.quantised(_table(spark, sf_dir, "embeddings"))
+    return search.nearest(rows, search.stated_queries(rows, 50), 5)
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +60,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_tokens, op4_urls, op5_mixing, op6_packing, op9_simhash, op10_langid)}
+    return {f.__name__: f for f in (op2_pii, op3_tokens, op4_urls, op5_mixing, op6_packing, op7_search, op8_vectors, op9_simhash, op10_langid)}
 
 
 def oracle_sql() -> dict:
-    return {"op4_urls": urls.ORACLE}
+    return {"op4_urls": urls.ORACLE, "op7_search": search.ORACLE, "op8_vectors": vectors.ORACLE}
