@@ -216,15 +216,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(counts.toPandas())
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score, from the column text alone."""
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` with lang_pred and score, from the text alone."""
     held = docs.sparkSession.sparkContext.broadcast(model.state())
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    n, at = len(keep), keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(held.value)
         for batch in batches:
-            langs, scores = model.predict(_binary(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
+            langs, scores = model.predict(_binary(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).cast("string")])).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """docs without those whose language is undetermined."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever docs calls its columns
+    predicted = identify(docs.toDF(*names), fit(docs.select("doc_id", "text", "lang")), names, names[docs.columns.index("text")])
+    return predicted.where(F.col("lang_pred") != UNDETERMINED).select(*names).toDF(*docs.columns)

@@ -136,7 +136,7 @@ def ranked_slots(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("slot", "source_key", "rank", "pass", "block", F.least(left, F.lit(block)).cast("long").alias("block_words"))
 
 
-def sizes(docs: DataFrame, *kept: str) -> DataFrame:
+def sizes(docs: DataFrame, *kept: Column) -> DataFrame:
     """uid, doc_id, source_key, source, size and the columns kept of the documents, written to the shared folder."""
     key = F.struct(F.col("source").isNull().alias("n"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"))
     named = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", key.alias("source_key"), "source", words("text").alias("size"), *kept)
@@ -168,3 +168,20 @@ def mix(sized: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> tuple[Dat
     )
     return mixed, documents
 
+
+def mixed_documents(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """docs as the mix takes them: once for each full pass, and the first words of a document that the last block cuts.
+
+    n_chars, if docs has it, is the new text's length. Documents without words are not taken.
+    """
+    sized = sizes(docs, F.struct(*docs.columns).alias("row"))
+    _, documents = mix(sized, epochs=epochs)
+    taken = documents.where("taken > 0").select("uid", "taken")
+    rows = sized.select("uid", "size", "row").join(taken, "uid")
+    passes = F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))
+    rows = rows.withColumn("words", F.explode(F.transform(passes, lambda p: F.least(F.col("taken") - p * F.col("size"), F.col("size")))))
+    head = F.call_function("regexp_extract", F.col("row.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), F.lit(0))
+    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("row.text"))
+    rows = rows.select("row", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text")}
+    return rows.select(*((made[c].cast(docs.schema[c].dataType) if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -127,7 +127,7 @@ def entity_of(text: Column, span: Column) -> Column:
     return F.xxhash64(span["kind"], value)
 
 
-def analyse(docs: DataFrame, *kept: str) -> DataFrame:
+def analyse(docs: DataFrame, *kept: Column) -> DataFrame:
     """uid, base spans, entities, near terms and the columns kept, written to the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.monotonically_increasing_id().alias("uid"), *kept, text.alias("_text")).withColumn("spans", base_spans(F.col("_text")))
@@ -195,7 +195,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of base spans, their digest and all spans."""
-    analysed = analyse(docs, "doc_id")
+    docs = docs.select("doc_id", "text")
+    analysed = analyse(docs, F.col("doc_id"))
     spans = add_terms(analysed, disclosures(analysed, docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"] < len(PATTERNS))
 
@@ -208,9 +209,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text sanitised, and n_chars its length if docs has it; a null text stays null."""
-    analysed = analyse(docs, *docs.columns)
-    spans = add_terms(analysed, disclosures(analysed, docs))
-    out = spans.withColumn("text", F.when(F.col("text").isNotNull(), sanitised(F.col("text"), F.col("spans"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    analysed = analyse(docs, F.struct(*docs.columns).alias("row"))
+    rows = add_terms(analysed, disclosures(analysed, docs.select("text")))
+    text = F.when(F.col("row.text").isNotNull(), sanitised(F.col("row.text"), F.col("spans")))
+    rows = rows.select("row", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text")}
+    return rows.select(*((made[c].cast(docs.schema[c].dataType) if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

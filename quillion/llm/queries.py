@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, search, simhash, tokens, urls, vectors
+from . import langid, licenses, mixing, packing, pii, search, simhash, tokens, urls, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -14,18 +14,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary(), ["doc_id"])
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), _vocabulary()))
+    return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +63,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs), ["doc_id", "held_out"])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_tokens, op4_urls, op5_mixing, op6_packing, op7_search, op8_vectors, op9_simhash, op10_langid)}
+    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_tokens, op4_urls, op5_mixing, op6_packing, op7_search, op8_vectors, op9_simhash, op10_langid, pipeline)}
 
 
 def oracle_sql() -> dict:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stash
+from .shared import components, small, stash
 
 SEED = 42
 DISTANCE = 2
@@ -149,3 +149,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (null last), the first of equals."""
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")), "rows")
+    marked = stash(fingerprints(rows.select(F.col("uid").alias("doc_id"), "row.text"), shingle), "fingerprints")
+    joined = components(links(marked.select("fp").distinct(), distance), "a", "b").select(F.col("node").alias("fp"), "root")
+    joined = stash(joined, "roots")
+    named = marked.join(joined, "fp", "left").select(F.col("doc_id").alias("uid"), F.coalesce("root", "fp").alias("root"))
+    named = stash(named.join(rows.select("uid", F.col("row.doc_id").alias("doc_id")), "uid"), "named")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first"))
+    kept = first.select(F.col("first.uid").alias("uid"))
+    gone = named.select("uid").join(kept, "uid", "left_anti")
+    return rows.join(small(gone), "uid", "left_anti").select("row.*")
