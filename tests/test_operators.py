@@ -1,0 +1,92 @@
+import pytest
+
+from quillion.operators import relational as ops
+from quillion.operators.relational import Aggregate, Condition, SortKey
+from quillion.streaming import events
+
+
+@pytest.fixture
+def sales(spark):
+    return spark.createDataFrame([("A", "x", 10), ("A", "y", 20), ("B", "x", None), (None, "x", 5), (None, "y", 7)], "city string, product string, amount int")
+
+
+def values(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.mark.parametrize(
+    "conditions, n",
+    [
+        ([Condition("amount", ">", 5)], 3), ([Condition("amount", ">=", 5), Condition("product", "=", "x")], 2), ([Condition("city", "!=", "A")], 1), ([Condition("city", "<>", "A")], 1),
+        ([Condition("amount", ">", "abc")], 0), ([Condition("amount", "<", "8")], 2), ([Condition("product", ">", 3)], 0), ([Condition("amount", "=", None)], 0), ([], 5),
+    ],
+)
+def test_filter(sales, conditions, n):
+    assert ops.filter_rows(sales, conditions).count() == n
+
+
+def test_filter_is_pushed(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    plan = ops.filter_rows(spark.read.parquet(str(tmp_path / "t")), [Condition("id", ">", 3)])._jdf.queryExecution().toString()
+    assert "GreaterThan(id,3)" in plan
+
+
+def test_group(sales):
+    out = ops.group_by(sales, ["city"], [Aggregate("COUNT", "*"), Aggregate("count", "amount"), Aggregate("SUM", "amount"), Aggregate("AVG", "amount", "mean"), Aggregate("MIN", "product"), Aggregate("MAX", "amount")])
+    assert out.columns == ["city", "count_*", "count_amount", "sum_amount", "mean", "min_product", "max_amount"]
+    assert sorted(values(out), key=str) == [("A", 2, 2, 30, 15.0, "x", 20), ("B", 1, 0, None, None, "x", None), (None, 2, 2, 12, 6.0, "x", 7)]
+    assert values(ops.group_by(sales.limit(0), [], [Aggregate("COUNT", "*"), Aggregate("SUM", "amount")])) == [(0, None)]
+    assert ops.group_by(sales, ["product"], []).count() == 2
+    with pytest.raises(ValueError):
+        ops.group_by(sales, [], [Aggregate("MODE", "amount")])
+
+
+def test_order_limit(sales):
+    keys = [SortKey("city"), SortKey("amount", True)]
+    assert [r[2] for r in values(ops.order_by(sales, keys))] == [20, 10, None, 7, 5]
+    assert [r[2] for r in values(ops.order_by(sales, [SortKey("amount", True)]))] == [20, 10, 7, 5, None]
+    assert ops.limit(sales, 0).count() == 0 and values(ops.page(sales, keys, 1, 2)) == [("B", "x", None), (None, "y", 7)]
+    with pytest.raises(ValueError):
+        ops.limit(sales, -1)
+
+
+def test_join(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "id int, name string")
+    right = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (9, 8)], "id int, amount int")
+    sizes = {how: ops.join(left, right, "id", "id", how).count() for how in ops.JOINS}
+    assert sizes == {"INNER": 2, "LEFT": 4, "RIGHT": 4, "FULL": 6}
+    assert ops.join(left, right, "id", "id").columns == ["id", "name", "right_id", "amount"]
+    with pytest.raises(ValueError):
+        ops.join(left, right, "id", "id", "SIDE")
+
+
+def test_result_filters(sales):
+    count = lambda *a: ops.result_filter(sales, *a).count()
+    assert (count("city", "eq", "a"), count("amount", "gt", 6), count("amount", "lt", "6"), count("amount", "between", 5, 10)) == (2, 3, 1, 3)
+    assert (count("city", "is", "null"), count("city", "is", "not null"), count("product", "contains", "X"), count("product", "startswith", "x")) == (2, 3, 3, 3)
+    assert (count("product", "endswith", "Y"), count("product", "regex", "^[XY]$"), count("city", "exact", "b")) == (2, 5, 1)
+    assert ops.result_contains(sales, "B").count() == 1 and ops.result_contains(sales, "0").count() == 2
+    with pytest.raises(ValueError):
+        count("city", "near", "x")
+
+
+def test_stream(spark, tmp_path):
+    spark.sql("SELECT explode(sequence(1, 40)) AS n").selectExpr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, n * 7) AS ts", "CAST(n % 3 AS STRING) AS event_type", "CAST(n AS DOUBLE) AS value").repartition(4).write.parquet(str(tmp_path / "e"))
+    stream = events.windowed_counts(events.stream_files(spark, str(tmp_path / "e"), 1), "1 hour", "100 hours")
+    run = stream.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).start()
+    run.processAllAvailable()
+    run.stop()
+    batch = events.windowed_counts(spark.read.parquet(str(tmp_path / "e")), "1 hour")
+    assert sorted(values(spark.table("counts"))) == sorted(values(batch))
+
+
+def test_dialect(spark):
+    from pyspark.sql import functions as F
+
+    from quillion.functions import dialect
+
+    df = spark.sql("SELECT date'2024-01-31' AS a, date'2024-03-01' AS b, 'x.y' AS s")
+    units = {u: df.select(dialect.date_diff(u, F.col("a"), F.col("b"))).first()[0] for u in ("day", "week", "month", "quarter", "year")}
+    assert units == {"day": 30, "week": 4, "month": 2, "quarter": 0, "year": 0}
+    row = df.select(dialect.split(F.col("s"), "."), dialect.concat(F.col("s"), F.lit(None)), dialect.strftime(F.col("a"), "%d/%m"), dialect.regexp_matches(F.col("s"), "y$")).first()
+    assert tuple(row) == (["x", "y"], "x.y", "31/01", True)
