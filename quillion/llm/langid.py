@@ -10,8 +10,8 @@ Bytes are folded first: A-Z to a-z, and all but the 62 most frequent to one symb
 text count as a start symbol. Code lengths are held as integers of 1/1024 bit, so sums do not depend on how
 rows are split into batches.
 
-Fitting reads whole texts of at most ``per_language`` documents of each language (those of least hash, found
-with a bounded top per task), counted on the executors; the driver gets counts of four-symbol sequences, at most
+Fitting reads whole texts of at most ``per_language`` documents of each language (those of least hash, among the
+part of the hash range that is sure to hold them), counted on the executors; the driver gets counts of four-symbol sequences, at most
 64**4 a language. Scoring covers every byte of every text.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing could be learned;
@@ -29,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small
+
 #: Documents of each language that are learned from, at most.
 PER_LANGUAGE = 256
+#: Tasks that count the sample, at most.
+FIT_TASKS = 8
 SYMBOLS = 64
 UNIT = 1024
 UNDETERMINED = "und"
@@ -208,11 +212,16 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from documents with a text, a language and a crc32 of the doc_id that is not 2 modulo 4."""
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(remainder() != 2)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    sample = labelled.select("lang", "doc_id", "text").join(chosen.select("lang", "doc_id").distinct(), ["lang", "doc_id"])
+    many = small(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    place = F.xxhash64("doc_id")
+    # about four times as many as are wanted have a hash in this part of the range; the least of them are taken
+    part = (F.lit(4.0 * per_language) / F.col("n") - 0.5) * F.lit(2.0**64)
+    drawn = labelled.select("lang", "doc_id").join(many, "lang").where(place.cast("double") <= part)
+    chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))).where(F.col("k") <= per_language)
+    sample = labelled.select("lang", "doc_id", "text").join(small(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
     sample = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
-    counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the sample is bounded, so a few tasks can count it and each sequence comes up in a few tasks only
+    counts = sample.select("lang", "text").coalesce(FIT_TASKS).mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model(counts.toPandas())
 
 
