@@ -21,7 +21,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s\x85{_LETTER
 #: Positions in a word take so many bits of a heap entry.
 _BITS = 40
 #: Words remembered by a worker, at most; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> dict[str, int]:

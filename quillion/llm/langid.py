@@ -38,8 +38,9 @@ FIT_TASKS = 8
 SYMBOLS = 64
 UNIT = 1024
 UNDETERMINED = "und"
-#: Bytes scored at a time.
-CHUNK = 1 << 20
+#: Bytes scored at a time, and rows returned at a time.
+CHUNK = 1 << 18
+ROWS = 256
 
 _ascii_letter = re.compile(rb"[A-Za-z]").search
 
@@ -233,7 +234,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(held.value)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             langs, scores = model.predict(_binary(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
