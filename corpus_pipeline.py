@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillion.llm import langid, mixing, packing, pii, simhash
 from quillion.llm.queries import vocabulary
-from quillion.llm.shared import stash
+from quillion.llm.shared import noting, remove, stash
+
+#: Tables that the last stage to run has written for itself.
+_own_tables: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(function: Stage) -> Stage:
+    """A stage's result is written before the next stage begins, so what it was made of can go then."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _own_tables)
+        with noting(_own_tables):
+            return function(spark, docs, sf_dir)
+
+    return run
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined: null texts and texts without a letter."""
     return langid.accepted(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
     return simhash.representatives(docs)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and the terms that give it away, in the texts."""
     return pii.sanitise(docs)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as their sources' targets say."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the documents into pieces and packs them into sequences."""
     return packing.pack(packing.cut_documents(docs, vocabulary()))
@@ -49,8 +74,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stash(docs, name)
-    return docs
+    results: list[str] = []
+    for name, stage in STAGES[:-1]:
+        read = list(results)
+        results.clear()
+        made = stage(spark, docs, sf_dir)
+        with noting(results):
+            docs = stash(made, name)
+        remove(spark, read)  # the next stage reads this one's result alone
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,10 +28,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Within, the paths of the tables that stash() writes are added to ``paths``."""
+    before = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(before)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that stash() wrote and empties the list; only for tables that nothing reads any more."""
+    while paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillion-{name}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
