@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
     n_chars, if docs has it, is the new text's length. Documents without words are not taken.
     """
-    sized = sizes(docs, F.struct(*docs.columns).alias("row"))
+    sized = sizes(docs, F.struct("*").alias("row"))
     _, documents = mix(sized, epochs=epochs)
     taken = documents.where("taken > 0").select("uid", "taken")
     rows = sized.select("uid", "size", "row").join(taken, "uid")

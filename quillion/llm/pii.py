@@ -209,7 +209,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text sanitised, and n_chars its length if docs has it; a null text stays null."""
-    analysed = analyse(docs, F.struct(*docs.columns).alias("row"))
+    analysed = analyse(docs, F.struct("*").alias("row"))
     rows = add_terms(analysed, disclosures(analysed, docs.select("text")))
     text = F.when(F.col("row.text").isNotNull(), sanitised(F.col("row.text"), F.col("spans")))
     rows = rows.select("row", text.alias("text"))

@@ -12,7 +12,9 @@ that of two groups whatever the table. Equal vectors are candidates like any oth
 
 Defined results: vectors that are null or hold null or non-finite components take no part; nor do empty ones;
 vectors of different lengths are not compared; a row is never its own candidate, but another row with the same id
-is one; a query row that is repeated gives its results once for each. Scores must fit in 64 bits.
+is one; a row whose id is null is a candidate after all others of its score, and no query; a query row that is
+repeated gives its results once for each; a score beyond 64 bits counts as the largest
+or smallest that they hold.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ GROUP = 1 << 20
 QUERIES = 1 << 19
 #: Dimensions taken between two bounds.
 STEP = 16
+#: Stands for a null id, and sorts last.
+NO_ID = (1 << 63) - 1
 
 
 def top(query: np.ndarray, own: int, columns: np.ndarray, squares: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int, step: int = STEP) -> list[tuple[int, int]]:
@@ -85,7 +89,7 @@ def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
             for own, name, v in zip(asked["uid"], asked["id"], q):
                 whole = [int(x) for x in v]
                 scored = sorted((-sum(a * int(b) for a, b in zip(whole, row)), i, u) for row, i, u in zip(c, ids.tolist(), uids.tolist()) if u != own)
-                out += [(own, name, u, i, -s) for s, i, u in scored[:k]]
+                out += [(own, name, u, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for s, i, u in scored[:k]]
     return pd.DataFrame(out, columns=["query_uid", "query_id", "uid", "vec_id", "score"]).astype("int64")
 
 
@@ -94,7 +98,7 @@ def quantised(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embe
     v = F.transform(F.col(vector), lambda x: _floor(x.cast("double") * SCALE))
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
     fit = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
-    return stash(fit.select(F.monotonically_increasing_id().alias("uid"), F.col(vector_id).cast("long").alias("id"), F.size(vector).alias("size"), v.alias("v")), "vectors")
+    return stash(fit.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(vector_id).cast("long"), F.lit(NO_ID)).alias("id"), F.size(vector).alias("size"), v.alias("v")), "vectors")
 
 
 def _floor(x: F.Column) -> F.Column:
@@ -116,12 +120,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, group: int = GROUP,
     )
     order = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id", "uid")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def stated_queries(rows: DataFrame, every: int) -> DataFrame:
     """The rows whose id is divisible by ``every``."""
-    return rows.where(F.pmod("id", F.lit(every)) == 0)
+    return rows.where((F.pmod("id", F.lit(every)) == 0) & (F.col("id") != NO_ID))
 
 
 ORACLE = """

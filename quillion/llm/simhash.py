@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE)
 
 def representatives(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id (null last), the first of equals."""
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")), "rows")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
     marked = stash(fingerprints(rows.select(F.col("uid").alias("doc_id"), "row.text"), shingle), "fingerprints")
     joined = components(links(marked.select("fp").distinct(), distance), "a", "b").select(F.col("node").alias("fp"), "root")
     joined = stash(joined, "roots")
