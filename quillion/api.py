@@ -44,6 +44,15 @@ class QueryResult:
     def schema(self) -> Schema:
         return Schema.of(self.df)
 
+    def optimizations(self) -> dict[str, list[str]]:
+        """What the optimiser pushed into the scans: filters, partition filters and the columns read, a line for each scan."""
+        found: dict[str, list[str]] = {"PushedFilters": [], "PartitionFilters": [], "ReadSchema": []}
+        for line in self.explain().splitlines():
+            name, colon, rest = line.partition(": ")
+            if colon and name in found and rest.strip() not in ("", "[]"):
+                found[name].append(rest.strip())
+        return found
+
     def explain(self, mode: str = "formatted") -> str:
         """The physical plan, with what was pushed into the scans."""
         return self.df._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))

@@ -20,12 +20,12 @@ def cache_folder() -> Path:
     return Path(os.environ.get("QUILLION_HTTP_CACHE") or Path(tempfile.gettempdir()) / "quillion-http")
 
 
-def cached_path(url: str, folder: Path | None = None) -> Path:
+def cached_path(url: str, folder: str | Path | None = None) -> Path:
     name = Path(unquote(urlparse(url).path)).name or "download"
-    return (folder or cache_folder()) / f"{hashlib.md5(url.encode()).hexdigest()}_{name}"
+    return Path(folder or cache_folder()) / f"{hashlib.md5(url.encode()).hexdigest()}_{name}"
 
 
-def download(url: str, folder: Path | None = None, force: bool = False) -> Path:
+def download(url: str, folder: str | Path | None = None, force: bool = False) -> Path:
     """The URL's content as a local file; kept until it is cleared."""
     place = cached_path(url, folder)
     if force or not place.exists():
@@ -41,11 +41,11 @@ def download(url: str, folder: Path | None = None, force: bool = False) -> Path:
     return place
 
 
-def clear_cache(url: str, folder: Path | None = None) -> None:
+def clear_cache(url: str, folder: str | Path | None = None) -> None:
     cached_path(url, folder).unlink(missing_ok=True)
 
 
-def clear_all_cache(folder: Path | None = None) -> None:
+def clear_all_cache(folder: str | Path | None = None) -> None:
     shutil.rmtree(folder or cache_folder(), ignore_errors=True)
 
 

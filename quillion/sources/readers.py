@@ -38,10 +38,13 @@ def _content(spark: SparkSession, path: str) -> bytes:
     return bytes(files[0]["content"])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", sample: int | None = SAMPLE) -> DataFrame:
-    """A file with a header. Short rows are filled with nulls; rows with more cells than the header are left out."""
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", sample: int | None = SAMPLE, multi_line: bool = False) -> DataFrame:
+    """A file with a header. Short rows are filled with nulls; rows with more cells than the header are left out.
+
+    multi_line: quoted cells may hold line ends; a file is then one task's work, else it is split.
+    """
     _exists(spark, path)
-    options = {"header": "true", "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": "false"}
+    options = {"header": "true", "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
     names = spark.read.options(**options).csv(path).columns
     extra = "_" + max([*names, ""], key=len)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra]])

@@ -47,7 +47,7 @@ def resolve(spark: SparkSession, source: str, **options: Any) -> DataFrame:
     """The table that a source string names. options go to the format's reader."""
     path, kind, table = parse_source_fragment(source)
     if re.match(r"https?://", path):
-        local = http.download(path, force=options.pop("force_download", False))
+        local = http.download(path, options.pop("cache_dir", None), options.pop("force_download", False))
         kind, path = kind or suffix_format(path) or http.sniffed(local), local.as_uri()
     elif path.startswith("s3://"):
         path = "s3a://" + path[len("s3://") :]

@@ -53,7 +53,9 @@ def test_errors(spark, people):
 
 def test_pushdown_shows(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 2 AS twice", "'x' AS s").write.parquet(str(tmp_path / "t.parquet"))
-    plan = query(spark=spark).sql(f"SELECT id FROM '{tmp_path}/t.parquet' WHERE twice > 50").explain()
+    result = query(spark=spark).sql(f"SELECT id FROM '{tmp_path}/t.parquet' WHERE twice > 50")
+    plan = result.explain()
+    assert result.optimizations() == {"PushedFilters": ["[IsNotNull(twice), GreaterThan(twice,50)]"], "PartitionFilters": [], "ReadSchema": ["struct<id:bigint,twice:bigint>"]}
     assert "PushedFilters: [IsNotNull(twice), GreaterThan(twice,50)]" in plan and "ReadSchema: struct<id:bigint,twice:bigint>" in plan
 
 

@@ -38,6 +38,18 @@ def test_csv_options(spark, tmp_path):
     assert resolve(spark, made(tmp_path, "h.csv", "a,b\n")).collect() == []
 
 
+def test_csv_line_ends_in_cells(spark, tmp_path):
+    path = made(tmp_path, "m.csv", 'a,b\n"x\ny",1\n"say ""hi""",2\n')
+    assert rows(resolve(spark, path, multi_line=True)) == [{"a": "x\ny", "b": 1}, {"a": 'say "hi"', "b": 2}]
+
+
+def test_s3_names(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr("quillion.sources.readers.read_parquet", lambda spark, path: asked.append(path))
+    resolve(spark, "s3://bucket/a/b.parquet")
+    assert asked == ["s3a://bucket/a/b.parquet"]
+
+
 def test_missing(spark, tmp_path):
     for name in ("no.csv", "no.parquet", "no.json", "no.jsonl", "no.md", "no.html"):
         with pytest.raises(FileNotFoundError):
@@ -170,6 +182,8 @@ def test_http(spark, tmp_path, monkeypatch):
         assert rows(resolve(spark, f"{at}/a.csv")) == rows(resolve(spark, f"{at}/a.csv")) == [{"x": 1}] and asked == ["/a.csv"]
         assert rows(resolve(spark, f"{at}/api")) == [{"y": 2}] and rows(resolve(spark, f"{at}/p.html#html:1")) == [{"City": "New York"}]
         resolve(spark, f"{at}/a.csv", force_download=True)
+        resolve(spark, f"{at}/api#json", cache_dir=str(tmp_path / "own"))
+        assert len(list((tmp_path / "own").iterdir())) == 1
         assert asked.count("/a.csv") == 2
         with pytest.raises(OSError, match="Failed to download"):
             resolve(spark, f"{at}/none.csv")
