@@ -88,12 +88,14 @@ def _steps(path: str) -> list[str | int | None]:
     """Names, whole numbers for places in lists, and None for all of a list."""
     steps: list[str | int | None] = []
     for part in re.findall(r"`[^`]*`|[^.`]+", path):
-        name, brackets = (part, "") if part[0] == "`" else re.fullmatch(r"([^\[\]]*)((?:\[-?\d*\])*)", part).groups() if re.fullmatch(r"([^\[\]]*)((?:\[-?\d*\])*)", part) else (None, "")
-        if name is None:
+        if part[0] == "`":
+            steps.append(part.strip("`"))
+            continue
+        parsed = re.fullmatch(r"([^\[\]]*)((?:\[-?\d*\])*)", part)
+        if not parsed:
             raise ValueError(f"Invalid path: {path}")
-        if name:
-            steps.append(name.strip("`"))
-        steps += [int(x) if x else None for x in re.findall(r"\[(-?\d*)\]", brackets)]
+        steps += [parsed[1]] if parsed[1] else []
+        steps += [int(x) if x else None for x in re.findall(r"\[(-?\d*)\]", parsed[2])]
     if steps.count(None) > 1:
         raise ValueError(f"Only one [] is supported in a path: {path}")
     return steps
