@@ -140,13 +140,22 @@ class Model:
         self.high[:, k] = self.escape[self.seen >> 6, k] + self.low[self.seen & (SYMBOLS**3 - 1), k]
         self.high[np.searchsorted(self.seen, gram), k] = bits(n / (total[context] + kinds[context]))
 
-    def place(self) -> np.ndarray:
-        """For each sequence of four symbols its row in ``high``, or -1."""
+    def place(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each three symbols among the contexts seen, else 0; the row in ``high`` of each symbol after each context, or -1)."""
         if not hasattr(self, "_place"):
-            self._place = np.full(SYMBOLS**4, -1, dtype=np.int32)
-            self._place[self.seen] = np.arange(len(self.seen), dtype=np.int32)
+            contexts = np.unique(self.seen >> 6)
+            context = np.zeros(SYMBOLS**3, dtype=np.int32)
+            context[contexts] = np.arange(1, len(contexts) + 1, dtype=np.int32)
+            after = np.full((len(contexts) + 1) * SYMBOLS, -1, dtype=np.int32)
+            after[context[self.seen >> 6] * SYMBOLS + (self.seen & (SYMBOLS - 1))] = np.arange(len(self.seen), dtype=np.int32)
+            self._place = context, after
         return self._place
 
+    def row(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The row in ``high`` of a symbol after three, or -1."""
+        context, after = self.place()
+        return after[context[before] * SYMBOLS + symbol]
+
     def state(self) -> dict:
         """The arrays alone, as a broadcast carries them; ``_place`` is made again by each worker and kept there."""
         return {k: v for k, v in self.__dict__.items() if k != "_place"}
@@ -160,38 +169,38 @@ class Model:
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in units, a row for each text and a column for each language."""
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        place, group, held = self.place(), [], 0
+        group, held = [], 0
         first = 0
         for i, text in enumerate(texts):  # texts together up to CHUNK bytes; a longer one goes alone, in parts
             if held and held + len(text) > CHUNK:
-                out[first:i] = self._group(place, group)
+                out[first:i] = self._group(group)
                 first, group, held = i, [], 0
             group.append(text)
             held += len(text)
         if group:
-            out[first:] = self._group(place, group)
+            out[first:] = self._group(group)
         return out
 
-    def _group(self, place: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    def _group(self, texts: list[bytes]) -> np.ndarray:
         if len(texts) == 1 and len(texts[0]) > 2 * CHUNK:
             text, out = texts[0], 0
             for at in range(0, len(text), CHUNK):
                 part = b"\0\0\0" + text[:CHUNK] if at == 0 else text[at - 3 : at + CHUNK]
-                out = out + self._costs(place, np.frombuffer(part, dtype=np.uint8)).sum(axis=0, dtype=np.int64)
+                out = out + self._costs(np.frombuffer(part, dtype=np.uint8)).sum(axis=0, dtype=np.int64)
             return out[None, :]
         raw, starts = _padded(texts)
-        costs = self._costs(place, raw)
+        costs = self._costs(raw)
         total = np.zeros((len(costs) + 1, costs.shape[1]), dtype=np.int64)
         np.cumsum(costs, axis=0, dtype=np.int64, out=total[1:])
         return total[starts[1:] - 3] - total[starts[:-1]]  # cost i is that of byte i + 3
 
-    def _costs(self, place: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    def _costs(self, raw: np.ndarray) -> np.ndarray:
         """Of each byte but the first three."""
         x = self.symbol[raw].astype(np.int32)
         if len(x) < 4:
             return np.zeros((0, len(self.languages)), dtype=np.int32)
         before = x[:-3] << 12 | x[1:-2] << 6 | x[2:-1]
-        at = place[before << 6 | x[3:]]
+        at = self.row(before, x[3:])
         costs = self.high[at]
         new = np.flatnonzero(at < 0)
         costs[new] = self.escape[before[new]] + self.low[(before[new] << 6 & (SYMBOLS**3 - 1)) | x[3:][new]]
