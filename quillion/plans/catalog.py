@@ -112,6 +112,10 @@ SQL = {
     "round_math": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice, 1) AS r, ROUND(l_quantity / 7, 3) AS q, CAST(l_orderkey % 7 AS BIGINT) AS m FROM {lineitem}",
     "inline_two_files": "SELECT n.n_name, r.r_name FROM {nation} AS n, {region} AS r WHERE n.n_regionkey = r.r_regionkey",
     "nested_any_all": "SELECT r_name FROM {region} WHERE r_regionkey NOT IN (SELECT n_regionkey FROM {nation} WHERE n_name LIKE '%A%')",
+    "limit_offset": "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 35",
+    "rollup": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "agg_filter": "SELECT l_returnflag, COUNT(*) FILTER (WHERE l_quantity > 25) AS big, SUM(l_quantity) FILTER (WHERE l_linestatus = 'F') AS qty FROM {lineitem} GROUP BY l_returnflag",
+    "case_in_aggregate": "SELECT o_orderpriority, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) * 1.0 / COUNT(*) > 0.3 AS often FROM {orders} GROUP BY o_orderpriority",
     "semi_anti": "SELECT COUNT(*) AS n FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
 }
 
@@ -197,6 +201,14 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "cnt", F.round("total", 4).alias("total"))
 
 
+def unquoted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Query(spark=spark).sql(f"SELECT n_name, r_name FROM {sf_dir}/nation.parquet JOIN {sf_dir}/region.parquet ON n_regionkey = r_regionkey").df
+
+
+def bound_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Query(f"{sf_dir}/orders.parquet#parquet", spark).sql("SELECT o_orderstatus, COUNT(*) AS n WHERE o_totalprice > 1000 GROUP BY o_orderstatus").df
+
+
 # sources: a table is written in a format and read through the engine
 
 
@@ -248,6 +260,28 @@ def _round_trip(write: Callable[[DataFrame, str], str], table: str, select: str)
     return run
 
 
+def join_cross_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _folder(spark)
+    nation = _written_csv(_table(spark, sf_dir, "nation"), place)
+    region = _written_jsonl(_table(spark, sf_dir, "region"), place)
+    return Query(spark=spark).sql(f"SELECT n_name, r_name FROM '{nation}' n LEFT JOIN '{region}' r ON n.n_regionkey = r.r_regionkey").df
+
+
+def src_parquet_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _folder(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    orders.write.partitionBy("o_orderstatus", "year").parquet(f"{place}/orders")
+    return Query(spark=spark).sql(f"SELECT o_orderkey, o_totalprice, o_orderstatus, year FROM '{place}/orders/o_orderstatus=F#parquet' WHERE year >= 1994").df
+
+
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _folder(spark)
+    for kind in ("csv", "json", "parquet"):
+        sinks.write(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), f"{place}/{kind}", kind)
+    read = "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size FROM '{}'"
+    return Query(spark=spark).sql(" UNION ALL ".join(read.format(f"{place}/{kind}#{'jsonl' if kind == 'json' else kind}") for kind in ("csv", "json", "parquet"))).df
+
+
 NATION = "CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey"
 NATION_XML = "CAST(`@n_nationkey` AS INTEGER) AS n_nationkey, `more.n_name` AS n_name, CAST(`more.n_regionkey` AS INTEGER) AS n_regionkey"
 ORDERS = "CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_totalprice, STRFTIME(o_orderdate, '%Y-%m-%d') AS day"
@@ -279,6 +313,14 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         stream_windows,
         "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS cnt, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2",
     ),
+    "unquoted_path": (unquoted_path, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "bound_source": (bound_source, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus"),
+    "join_cross_format": (join_cross_format, "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"),
+    "src_parquet_partitions": (
+        src_parquet_partitions,
+        "SELECT o_orderkey, o_totalprice, o_orderstatus, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) >= 1994",
+    ),
+    "sink_roundtrip": (sink_roundtrip, "SELECT p_partkey, p_name, p_size FROM part, range(3)"),
     "src_csv_roundtrip": (
         _round_trip(_written_csv, "orders", ORDERS),
         "SELECT o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
