@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import FEW, stash
 
 #: In the order of the kinds; fixed values.
 KINDS = ("email", "ip", "card", "phone", "general", "term")
@@ -142,12 +142,15 @@ def disclosures(analysed: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = touched.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
     pairs = stash(pairs.select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pairs")
     entities = analysed.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    own = F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}]+")
-    whole = lambda t: (F.length(t) >= SHORTEST) & (F.length(t) <= REACH)
-    # a term starts with a letter: a word's leading numbers are not part of it
-    own = F.array_distinct(F.filter(F.transform(own, lambda t: F.regexp_replace(t, r"^\p{N}+", "")), whole))
-    terms = docs.where("text IS NOT NULL").select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = pairs.join(entities, "entity").join(terms, "term")
+    # cut where a word ends, and with it the numbers that the next one begins with: a term starts with a letter
+    own = F.split(F.lower(F.concat(F.lit(" "), F.col("text").cast("string"))), r"[^\p{L}\p{N}]+\p{N}*")
+    own = F.array_distinct(F.filter(own, lambda t: (F.length(t) >= SHORTEST) & (F.length(t) <= REACH)))
+    words = docs.where("text IS NOT NULL").select(F.explode(own).alias("term"))
+    wanted = stash(pairs.select("term").distinct(), "wanted")
+    if wanted.count() <= FEW:  # else every word is counted, and the join comes after
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = pairs.join(entities, "entity").join(terms, "term", "left").withColumn("n_term", F.coalesce("n_term", "n_both"))
     both, term, entity = (F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity"))
     share = F.log(n * both / (F.greatest(term, both) * entity)) / F.log(n / entity)
     shown = counted.where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= GENERALISE)
