@@ -98,8 +98,9 @@ def ordered(vectors: DataFrame, basis: dict[int, np.ndarray], eps: float, block:
             yield frame.drop(columns=["cell"]).assign(part=np.int32(part), nth=np.arange(n, n + len(frame)))
             n += len(frame)
 
-    shape = "rid long, n long, least long, v array<double>, size int, at array<double>"
-    placed = stash(vectors.withColumn("v", F.col("v").cast("array<double>")).mapInPandas(project, f"{shape}, cell array<int>"), "projected")
+    kind = "float" if dict(vectors.dtypes)["v"] == "array<float>" else "double"
+    shape = f"rid long, n long, least long, v array<{kind}>, size int, at array<double>"
+    placed = stash(vectors.withColumn("v", F.col("v").cast(f"array<{kind}>")).mapInPandas(project, f"{shape}, cell array<int>"), "projected")
     keys = ["size", "cell", "rid"]
     sorted_ = stash(placed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(number, f"{shape}, part int, nth long"), "ordered")
     before, starts = 0, []
