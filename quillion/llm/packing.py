@@ -7,6 +7,11 @@ the bound shows the rest of the gap to be under ``GAP``. Patterns are used as of
 rounded down; what is left over is filled largest first. Pieces are ranked within their length on the
 executors, and a piece's rank says which copy of which pattern, and which place in it, it takes.
 
+Rests stay whole where patterns fill sequences without cutting them. Where lengths do not go together (many rests of a
+little over half a sequence, say), the program may also cut a rest in two, at a price of ``CUT`` sequences a cut: a
+column that meets one rest of a length and asks for one of each part's. Cuts fall on multiples of ``GRID`` ids, up to
+which checksums are kept; that of what follows is worked out from the two.
+
 What the driver sees is bounded by the histogram (``capacity / unit`` lengths), never by the documents. A length
 that a third of the pieces share is ranked in many buckets (see ``shared.ranked``).
 
@@ -33,6 +38,9 @@ CAPACITY = 2048
 UNIT = 8
 #: The gap to the linear program's bound at which generation stops.
 GAP = 2e-4
+#: Sequences that a cut must save, and ids between the places where a rest can be cut.
+CUT = 0.04
+GRID = 64
 #: The id that closes each document.
 CLOSING = 1
 
@@ -40,7 +48,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of doc_id and text: each full sequence, then the rest, with the checksum of their ids."""
+    """Pieces of doc_id and text: each full sequence, then the rest, with the checksum of their ids.
+
+    marks: of a rest, the checksum of what is before each multiple of GRID inside it (32 bits each).
+    """
     held = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary))
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -57,7 +68,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
         special = {k: struct.pack("<I", v) for k, v in state["special"].items()}
         end = struct.pack("<I", CLOSING)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 parts = words.segments(text.as_py())
                 data = b"".join([special[x] if i % 2 else b"".join(map(get, words.split(x))) for i, x in enumerate(parts)]) + end
@@ -65,12 +76,45 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
                 view = memoryview(data)
                 for at in range(0, n, capacity):
                     to = min(n, at + capacity)
-                    for column, value in zip(out, (doc_id, at, to - at, zlib.crc32(view[4 * at : 4 * to]), n)):
+                    piece = view[4 * at : 4 * to]
+                    for column, value in zip(out, (doc_id, at, to - at, zlib.crc32(piece), n, _marks(piece) if to - at < capacity else None)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:-1]), pa.array(out[-1], pa.binary())], names=[*names, "marks"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(run, f"{PIECES}, marks binary")
+
+
+def _marks(piece: memoryview) -> bytes:
+    sums, so_far = [], 0
+    for at in range(4 * GRID, len(piece), 4 * GRID):
+        so_far = zlib.crc32(piece[at - 4 * GRID : at], so_far)
+        sums.append(so_far)
+    return struct.pack(f"<{len(sums)}I", *sums)
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials modulo that of CRC-32; the highest bit is the constant term."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def _rest_checksum(whole: int, before: int, length: int) -> int:
+    """The checksum of the last ``length`` bytes, from those of all and of what is before them.
+
+    Bytes that follow multiply what is before by x ** 8 each, and their own checksum is added.
+    """
+    power, factor = 1 << 31, 1 << 23  # x ** 0 and x ** 8
+    while length:
+        if length & 1:
+            power = _product(power, factor)
+        factor = _product(factor, factor)
+        length >>= 1
+    return whole ^ _product(power, before)
 
 
 def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -95,26 +139,40 @@ def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as rows, how often each): a solution of the linear program that meets the demand of lengths 1..len(demand)."""
-    used = np.flatnonzero(demand > 0)
-    if not len(used):
-        return np.zeros((0, len(demand)), dtype=np.int64), np.zeros(0)
-    lengths = used + 1
+def solve(demand: np.ndarray, capacity: int, gap: float = GAP, grid: int = 0, price: float = CUT, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
+    """(patterns as rows, how often each, {(length, first part): how often it is cut}): a solution of the linear program
+    that meets the demand of lengths 1..len(demand). grid: cuts fall on its multiples; 0 allows none."""
+    used = np.flatnonzero(demand > 0) if not grid else np.arange(len(demand))
+    if not demand.any():
+        return np.zeros((0, len(demand)), dtype=np.int64), np.zeros(0), {}
+    lengths, m = used + 1, len(used)
     need = demand[used].astype(np.float64)
-    columns = [np.where(np.arange(len(used)) == i, capacity // n, 0) for i, n in enumerate(lengths)]
-    basis = np.array(columns, dtype=np.float64).T
-    inverse = np.diag(1 / np.diag(basis))
+    columns = [np.where(np.arange(m) == i, capacity // n, 0) for i, n in enumerate(lengths)]
+    costs, cuts = np.ones(m), [None] * m
+    inverse = np.diag([1 / (capacity // n) for n in lengths])
     amount = inverse @ need
     scale, full = 1e-9 * need.sum(), np.zeros(capacity)
+    whole, first = np.meshgrid(np.arange(1, m + 1), np.arange(grid, m, grid) if grid else np.zeros(0, dtype=int), indexing="ij")
+    fits = first < whole
+    whole, first = whole[fits], first[fits]
     for _ in range(rounds):
-        dual = inverse.sum(axis=0)  # every pattern costs one sequence
+        dual = costs @ inverse
         full[:] = -1
         full[lengths - 1] = dual
         value, pattern = _knapsack(full, capacity)
-        if value <= 1 + gap:  # Farley's bound: the optimum is the objective / value at least
-            break
-        column = pattern[lengths - 1].astype(np.float64)
+        cost, cut = 1.0, None
+        if value > 1 + gap:  # else, by Farley's bound, patterns can save a share of ``gap`` at most
+            column = pattern[lengths - 1].astype(np.float64)
+        else:
+            saved = dual[whole - 1] - dual[first - 1] - dual[whole - first - 1] - price if len(whole) else np.zeros(1)
+            best = int(saved.argmax())
+            if saved[best] <= gap:
+                break
+            cost, cut = price, (int(whole[best]), int(first[best]))
+            column = np.zeros(m)
+            column[cut[0] - 1] = 1
+            for part in (cut[1], cut[0] - cut[1]):
+                column[part - 1] -= 1
         direction = inverse @ column
         positive = direction > 1e-9
         if not positive.any():
@@ -128,15 +186,29 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        columns[out] = column
-    patterns = np.zeros((len(used), len(demand)), dtype=np.int64)
-    patterns[:, used] = np.array(columns).round().astype(np.int64)
-    return patterns, np.maximum(amount, 0)
+        columns[out], costs[out], cuts[out] = column, cost, cut
+    amount = np.maximum(amount, 0)
+    plain = [k for k in range(m) if cuts[k] is None]
+    patterns = np.zeros((len(plain), len(demand)), dtype=np.int64)
+    patterns[:, used] = np.array([columns[k] for k in plain]).round().astype(np.int64).reshape(len(plain), m)
+    return patterns, amount[plain], {cuts[k]: float(amount[k]) for k in range(m) if cuts[k] is not None}
+
+
+def choose_cuts(demand: np.ndarray, capacity: int, grid: int) -> list[tuple[int, int, int]]:
+    """[(length, first part, how many rests)], no more than there are of a length."""
+    left = demand.astype(np.int64).copy()
+    out = []
+    for (length, first), n in sorted(solve(demand, capacity, grid=grid)[2].items(), reverse=True):
+        n = min(int(n + 1e-6), int(left[length - 1]))  # parts that are cut again are left whole
+        left[length - 1] -= n
+        if n:
+            out.append((length, first, n))
+    return out
 
 
 def whole_patterns(demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, copies) that use each length 1..len(demand) exactly as often as demanded."""
-    patterns, amount = solve(demand, capacity, gap)
+    patterns, amount, _ = solve(demand, capacity, gap)
     copies = np.floor(amount + 1e-6).astype(np.int64)
     left = demand.astype(np.int64).copy()
     for k in range(len(patterns)):  # never more than there are, whatever the arithmetic rounded
@@ -177,15 +249,50 @@ def plan(demand: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "base", "each", "place"), table.T)) | {"sequences": int(base[-1])}
 
 
+def _histogram(pieces: DataFrame, units: int) -> np.ndarray:
+    demand = np.zeros(units, dtype=np.int64)
+    for row in pieces.groupBy("units").count().collect():  # a row a length
+        demand[row["units"] - 1] = row["count"]
+    return demand
+
+
+def cut_rests(pieces: DataFrame, cuts: list[tuple[int, int, int]], unit: int) -> DataFrame:
+    """The pieces, with the first so many of each length in two parts."""
+    table = {length: [c for c in cuts if c[0] == length] for length, _, _ in cuts}
+    ends = {length: np.cumsum([c[2] for c in own]) for length, own in table.items()}
+    names = PIECES.replace(" long", "").split(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for r in batch.to_pylist():
+                rows = [tuple(r[n] for n in names)]
+                if r["units"] in ends and r["marks"] is not None and r["rank"] < ends[r["units"]][-1]:
+                    first = table[r["units"]][int(np.searchsorted(ends[r["units"]], r["rank"], side="right"))][1] * unit
+                    (before,) = struct.unpack_from("<I", r["marks"], 4 * (first // GRID - 1))
+                    after = _rest_checksum(r["ids_crc32"], before, 4 * (r["length"] - first))
+                    rows = [(r["doc_id"], r["start"], first, before, r["doc_tokens"]), (r["doc_id"], r["start"] + first, r["length"] - first, after, r["doc_tokens"])]
+                for row in rows:
+                    for column, value in zip(out, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+
+    order = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32")]
+    return ranked(pieces, ["units"], order).select(*names, "marks", "units", "rank").mapInArrow(run, PIECES)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    if capacity % unit:
-        raise ValueError("the capacity must be a multiple of the unit")
-    pieces = stash(pieces.withColumn("units", F.ceil(F.col("length") / unit).cast("int")), "pieces")
-    demand = np.zeros(capacity // unit, dtype=np.int64)
-    for row in pieces.groupBy("units").count().collect():  # capacity / unit rows at most
-        demand[row["units"] - 1] = row["count"]
-    where = plan(demand, capacity // unit)
+    if capacity % unit or GRID % unit:
+        raise ValueError("the capacity and the grid must be multiples of the unit")
+    measured = lambda df: df.withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
+    size = capacity // unit
+    pieces = stash(measured(pieces), "pieces")
+    demand = _histogram(pieces.where("marks IS NOT NULL"), size)
+    if cuts := choose_cuts(demand, size, GRID // unit):
+        pieces = stash(measured(cut_rests(pieces, cuts, unit)), "parts")
+    pieces = pieces.drop("marks")
+    where = plan(_histogram(pieces, size), size)
     starts = where["length"] << 40 | where["rank"]
     names = [*PIECES.replace(" long", "").split(", "), "sequence_id", "place"]
 
