@@ -136,7 +136,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if len(anchor):
             yield compared(anchor, points)
 
-    copied = distinct.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp")
+    # 32 copies of each are made, so dealt to many tasks, which adaptive execution would take together for their small size
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = distinct.select("fp").repartition(tasks).select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp")
     return copied.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInPandas(run, "a long, b long").distinct()
 
 
