@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small
+from .shared import give_back, small, small_batches
 
 #: Documents of each language that are learned from, at most.
 PER_LANGUAGE = 256
@@ -237,6 +237,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred and score, from the text alone."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model.state())
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     n, at = len(keep), keep.index(text) if text in keep else len(keep)
@@ -246,6 +247,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             langs, scores = model.predict(_binary(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
+        give_back()
 
     return docs.select(*keep, *([] if text in keep else [F.col(text).cast("string")])).mapInArrow(run, schema)
 

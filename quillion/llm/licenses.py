@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 SIMILARITY = 0.8
 
 #: Names that notices give to licences, after "the" where a form has it.
@@ -185,6 +187,7 @@ def scan(docs: DataFrame, similarity: float = SIMILARITY, known: list[tuple[str,
     """doc_id, license (of the best unit, else null), dice (0 without one), n_matches and matches: licence:start:end of
     each matching unit, in order, joined by commas (code points, ends exclusive)."""
     known = templates() if known is None else known
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known, similarity)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import ranked, stash
+from .shared import give_back, ranked, small_batches, stash
 
 CAPACITY = 2048
 #: Ids a unit of the histogram.
@@ -52,6 +52,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
 
     marks: of a rest, the checksum of what is before each multiple of GRID inside it (32 bits each).
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary))
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -80,6 +81,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
                     for column, value in zip(out, (doc_id, at, to - at, zlib.crc32(piece), n, _marks(piece) if to - at < capacity else None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:-1]), pa.array(out[-1], pa.binary())], names=[*names, "marks"])
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return source.mapInArrow(run, f"{PIECES}, marks binary")

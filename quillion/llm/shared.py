@@ -64,6 +64,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch, and the setting of it that sessions begin with.
+BATCH = "8m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets a batch of whole texts take BATCH bytes, on both sides of the Python boundary, unless the session says otherwise."""
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH)
+
+
+def give_back() -> None:
+    """Returns the memory that a task's texts took to the system, as the worker waits for its next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of the edges' graph; root is the component's smallest node.
 

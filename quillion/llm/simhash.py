@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, small, stash
+from .shared import components, give_back, small, small_batches, stash
 
 SEED = 42
 DISTANCE = 2
@@ -58,7 +58,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             texts = batch.column(1).cast(pa.binary() if not pa.types.is_large_string(batch.column(1).type) else pa.large_binary())
             fps = [fingerprint(x.as_py() or b"", shingle) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .shared import small_batches
 
 #: A document with more tokens is over the limit.
 LIMIT = 2048
@@ -25,6 +26,7 @@ LIMIT = 2048
 
 def count_tokens(docs: DataFrame, vocabulary: str, keep: list[str], limit: int = LIMIT) -> DataFrame:
     """The columns ``keep`` with n_bytes, n_tokens and over_limit, from the column text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
