@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .shared import components, give_back, small, small_batches, stash
 
 SEED = 42
@@ -156,10 +157,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE)
 
 
 def representatives(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id (null last), the first of equals."""
+    """docs with one document of each component: that of the smallest doc_id (null last), the first of equals.
+
+    Links are those of near fingerprints and those of jaccard.py, five-word shingles of similarity 0.8 or more."""
     rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
     marked = stash(fingerprints(rows.select(F.col("uid").alias("doc_id"), "row.text"), shingle), "fingerprints")
-    joined = components(links(marked.select("fp").distinct(), distance), "a", "b").select(F.col("node").alias("fp"), "root")
+    near = stash(links(marked.select("fp").distinct(), distance), "near")
+    marks = rows.where("row.text IS NOT NULL").select("uid", F.xxhash64("row.text").alias("h"), F.length("row.text").alias("l"))
+    copied = marks.groupBy("h", "l").agg(F.min("uid").alias("least"), F.count("*").alias("n")).where("n > 1")
+    again = small(marks.join(copied, ["h", "l"]).where("uid <> least").select("uid"))
+    texts = rows.where("row.text IS NOT NULL").join(again, "uid", "left_anti").select("uid", F.col("row.text").cast("string").alias("text"))
+    similar = jaccard.links(texts, marked.select(F.col("doc_id").alias("uid"), F.col("fp").alias("name")), stash(components(near, "a", "b"), "roots"))
+    joined = components(near.select("a", "b").union(similar), "a", "b").select(F.col("node").alias("fp"), "root")
     joined = stash(joined, "roots")
     named = marked.join(joined, "fp", "left").select(F.col("doc_id").alias("uid"), F.coalesce("root", "fp").alias("root"))
     named = stash(named.join(rows.select("uid", F.col("row.doc_id").alias("doc_id")), "uid"), "named")
