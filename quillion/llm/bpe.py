@@ -16,8 +16,10 @@ from heapq import heapify, heappop, heappush
 #: Letters and numbers up to U+00FF, by the rule of their Unicode category.
 _LETTERS = "".join(chr(i) for i in range(256) if unicodedata.category(chr(i))[0] == "L")
 _NUMBERS = "".join(chr(i) for i in range(256) if unicodedata.category(chr(i))[0] == "N")
+#: White space up to U+00FF by its Unicode property, which Python's own class exceeds by U+001C to U+001F.
+_SPACE = "\\t-\\r \\x85\\xa0"
 #: The vocabulary's word pattern, for texts up to U+00FF.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s\x85{_LETTERS}{_NUMBERS}]+"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+"
 #: Positions in a word take so many bits of a heap entry.
 _BITS = 40
 #: Words remembered by a worker, at most; beyond that it starts anew.

@@ -74,6 +74,13 @@ def test_merging_is_the_libraries():
         assert n == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_split_is_the_librarys_for_every_character():
+    state = bpe.load(VOCABULARY)
+    words, count, library = bpe.Words(state), bpe.counter(state), Tokenizer.from_file(VOCABULARY)
+    for text in [form.format(chr(i)) for i in range(256) for form in ("a{}b", "{0}{0}1 {0}", "'{0}s {0}'ll", "!{}?")]:
+        assert sum(map(count, words.split(text))) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_token_counts(spark, odd_docs, odd_texts, empty_docs):
     library = Tokenizer.from_file(VOCABULARY)
     size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
