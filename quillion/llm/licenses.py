@@ -6,8 +6,9 @@ twice the bigrams in common over the bigrams of both. A coefficient of t needs s
 a * t / (2 - t) <= b <= a * (2 - t) / t, so templates outside these bounds are pruned by size alone, and a unit
 with none inside is not even cut into bigrams. The rest meet an index from bigrams to templates.
 
-Templates are full licence texts and notices of one line (forms by licence names); their number is fixed, and
-they travel with the function. Each document is judged by itself: no shuffle.
+Templates are full licence texts, headers of source files, and notices of one line (forms by licence names); their number
+is fixed, and they travel with the function. AGPL-3.0, EPL-2.0, Unlicense and CC-BY* are known by notices alone.
+Each document is judged by itself: no shuffle.
 
 Defined results: a null text has no units and no licence; of equal coefficients the larger template
 wins, then the first licence in code-point order; rows stay as they are, repeated or not.
@@ -19,6 +20,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,14 +114,26 @@ TEXTS = {
     "as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
+#: Files with the full texts of other licences.
+FILES = {
+    "Apache-2.0": "Apache-2.0",
+    "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3",
+    "CC0-1.0": "CC0-1.0",
+    "MPL-2.0": "MPL-2.0",
+}
+
 _word = re.compile(r"[^\W_]+").findall
 _paragraph = re.compile(r"\n[^\S\n]*\n")
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, text): each name in each form, and the full texts."""
+    """(licence, text): each name in each form, the headers and the full texts."""
     notices = [(licence, form.format(name)) for licence, names in NAMES.items() for name in names for form in FORMS]
-    return notices + list(TEXTS.items())
+    folder = Path(__file__).parent / "licence_texts"
+    return notices + list(TEXTS.items()) + [(licence, (folder / f"{name}.txt").read_text("utf-8")) for licence, name in FILES.items()]
 
 
 def bigrams(text: str) -> Counter:

@@ -59,6 +59,12 @@ def test_licence_scan(spark, odd_docs, empty_docs):
     assert licenses.scan(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("licence", sorted(licenses.FILES))
+def test_full_licence_texts(licence):
+    text = open(f"/usr/share/common-licenses/{licenses.FILES[licence]}", encoding="utf-8").read()
+    assert licenses.Scanner(licenses.templates()).match(text)[2] == licence
+
+
 # tokens
 
 
