@@ -6,6 +6,10 @@ twice the bigrams in common over the bigrams of both. A coefficient of t needs s
 a * t / (2 - t) <= b <= a * (2 - t) / t, so templates outside these bounds are pruned by size alone, and a unit
 with none inside is not even cut into bigrams. The rest meet an index from bigrams to templates.
 
+A licence inside a larger unit is found by windows of words. A template is sought in a text only where the bigrams in common
+with the whole text reach a * t / (2 - t); then windows that begin and end at its bigrams, within the size bounds, are
+counted as they slide. A window is listed where no unit of the same licence or of an equal coefficient overlaps it.
+
 Templates are full licence texts, headers of source files, and notices of one line (forms by licence names); their number
 is fixed, and they travel with the function. AGPL-3.0, EPL-2.0, Unlicense and CC-BY* are known by notices alone.
 Each document is judged by itself: no shuffle.
@@ -124,6 +128,8 @@ FILES = {
     "CC0-1.0": "CC0-1.0",
     "MPL-2.0": "MPL-2.0",
 }
+#: Sizes of windows tried for a template, at most; between two of them the starts are tried one by one.
+WIDTHS = 40
 
 _word = re.compile(r"[^\W_]+").findall
 _paragraph = re.compile(r"\n[^\S\n]*\n")
@@ -171,6 +177,7 @@ class Scanner:
         self.sizes, self.names = [x[0] for x in sized], [x[1] for x in sized]
         self.low, self.high = similarity / (2 - similarity), (2 - similarity) / similarity
         self.similarity = similarity
+        self.own = [x[2] for x in sized]
         self.index: dict = {}
         for k, (_, _, own) in enumerate(sized):
             for pair, n in own.items():
@@ -197,6 +204,81 @@ class Scanner:
         return min(found, key=lambda x: (-x[0], -x[1], x[2])) if found else None
 
 
+    def windows(self, text: str) -> list[tuple[int, int, tuple[float, int, str]]]:
+        """(start, end, match) of the best windows of words that do not overlap each other."""
+        words = _word(text.lower())
+        pairs = list(zip(words, words[1:]))
+        shared = self.index.keys() & set(pairs)
+        if not shared:
+            return []
+        counts, common = Counter(p for p in pairs if p in shared), Counter()
+        for pair, n in counts.items():
+            for k, m in self.index[pair]:
+                common[k] += min(n, m)
+        found = []
+        for k, n in common.items():
+            if n >= self.sizes[k] * self.low - 1e-9:
+                own = self.own[k]
+                at = [i for i, p in enumerate(pairs) if p in shared and p in own]
+                found += [(dice, self.sizes[k], self.names[k], a, b) for dice, a, b in self._windows(pairs, at, k)]
+        found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
+        kept: list = []
+        for x in found:
+            if all(x[4] < y[3] or x[3] > y[4] for y in kept):
+                kept.append(x)
+        places = _places(text) if kept else []
+        return [(places[a][0], places[b + 1][1], (dice, size, name)) for dice, size, name, a, b in kept]
+
+    def _windows(self, pairs: list, at: list[int], k: int) -> list[tuple[float, int, int]]:
+        """(coefficient, first, last) of template k's windows; at: the places of its bigrams."""
+        size, own = self.sizes[k], self.own[k]
+        low, high = max(1, int(size * self.low)), int(size * self.high + 1e-9)
+        step = max(1, -(-(high - low) // WIDTHS))
+        ends: dict[int, float] = {}
+        for width in range(low, high + step, step):
+            inside: Counter = Counter()
+            first = both = 0
+            for last, place in enumerate(at):
+                pair = pairs[place]
+                inside[pair] += 1
+                both += inside[pair] <= own[pair]
+                while place - at[first] >= width:
+                    gone = pairs[at[first]]
+                    both -= inside[gone] <= own[gone]
+                    inside[gone] -= 1
+                    first += 1
+                # of all starts that this width has over the last one, none is better than this
+                best = 2 * both / (size + max(place - at[first] + 1 - step, both))
+                if best >= self.similarity - 1e-12:
+                    ends[last] = max(ends.get(last, 0.0), best)
+        out: list[tuple[float, int, int]] = []
+        for last in sorted(ends, key=lambda x: (-ends[x], x)):
+            if any(a <= at[last] <= b for _, a, b in out):
+                continue
+            inside, both, top = Counter(), 0, (0.0, 0)
+            for first in range(last, -1, -1):
+                length = at[last] - at[first] + 1
+                if length > high:
+                    break
+                pair = pairs[at[first]]
+                inside[pair] += 1
+                both += inside[pair] <= own[pair]
+                top = max(top, (2 * both / (size + length), at[first]))
+            if top[0] >= self.similarity - 1e-12:
+                out.append((top[0], top[1], at[last]))
+        return out
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """(start, end) in the text of the words of its lower-case form."""
+    lower = text.lower()
+    found = [m.span() for m in re.finditer(r"[^\W_]+", lower)]
+    if len(lower) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[s], origin[e - 1] + 1) for s, e in found]
+
+
 def scan(docs: DataFrame, similarity: float = SIMILARITY, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license (of the best unit, else null), dice (0 without one), n_matches and matches: licence:start:end of
     each matching unit, in order, joined by commas (code points, ends exclusive)."""
@@ -212,6 +294,9 @@ def scan(docs: DataFrame, similarity: float = SIMILARITY, known: list[tuple[str,
                 for start, end in units(text):
                     if best := scanner.match(text[start:end]):
                         found.append((start, end, best))
+                for start, end, best in scanner.windows(text):
+                    if not any(s < end and e > start and (b[2] == best[2] or b[0] >= best[0] - 1e-12) for s, e, b in found):
+                        found.append((start, end, best))
                 top = min((b for _, _, b in found), key=lambda x: (-x[0], -x[1], x[2]), default=(0.0, 0, None))
                 listed = ",".join(f"{b[2]}:{s}:{e}" for s, e, b in sorted(found))
                 for column, x in zip(out, (top[2], top[0], len(found), listed)):

@@ -59,6 +59,21 @@ def test_licence_scan(spark, odd_docs, empty_docs):
     assert licenses.scan(empty_docs).count() == 0
 
 
+def test_licence_inside_a_document(spark):
+    """A licence text before code or between other paragraphs, and a notice inside a longer line, with where they stand."""
+    mit = licenses.TEXTS["MIT"].replace(". ", ".\n\n")
+    code = "\n".join(f"int value{i} = compute(value{i + 1}, {i});" for i in range(60))
+    line = "See the README for details. This package is Licensed under the MIT License. Copyright held by all of its many authors since then"
+    rows = [(0, mit + "\n\n" + code), (1, f"İ {code}\n\n{mit}\n\n{mit}\n{code}"), (2, line), (3, code)]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i]["license"] for i in range(4)] == ["MIT", "MIT", "MIT", None]
+    spans = {i: [tuple(map(int, x.split(":")[1:])) for x in out[i]["matches"].split(",")] for i in range(3)}
+    assert out[0]["dice"] > 0.97 and spans[0] == [(0, len(mit) - 1)]
+    first = len(code) + 4
+    assert len(spans[1]) == 2 and spans[1][0] == (first, first + len(mit) - 1)
+    assert line[slice(*spans[2][0])] == "Licensed under the MIT License"
+
+
 @pytest.mark.parametrize("licence", sorted(licenses.FILES))
 def test_full_licence_texts(licence):
     text = open(f"/usr/share/common-licenses/{licenses.FILES[licence]}", encoding="utf-8").read()
