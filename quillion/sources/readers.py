@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .typing import SAMPLE, typed
+from .typing import typed
 
 #: The largest document that the driver parses.
 DOCUMENT_MB = 256
@@ -38,7 +38,7 @@ def _content(spark: SparkSession, path: str) -> bytes:
     return bytes(files[0]["content"])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", sample: int | None = SAMPLE, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", sample: int | None = None, multi_line: bool = False) -> DataFrame:
     """A file with a header. Short rows are filled with nulls; rows with more cells than the header are left out.
 
     multi_line: quoted cells may hold line ends; a file is then one task's work, else it is split.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import date, datetime, time
 from decimal import Decimal, InvalidOperation
 from enum import Enum
@@ -256,15 +256,50 @@ def as_type(name: str, kind: DataType, wide: bool = False) -> Column:
     return out.alias(name)
 
 
+def _all_kinds(texts: DataFrame) -> tuple[dict[str, DataType], dict[str, bool]]:
+    """Each column's type by all rows, and whether it has whole numbers beyond 64 bits; one row a task and column comes back."""
+
+    def run(frames: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        kinds: dict[int, set[DataType]] = {}
+        wide: set[int] = set()
+        for frame in frames:
+            for k in range(frame.shape[1]):
+                for value in frame.iloc[:, k].unique():
+                    kind = infer_type(value) if isinstance(value, str) else DataType.NULL
+                    kinds.setdefault(k, set()).add(kind)
+                    if kind is DataType.INTEGER and abs(int(value)) >= 1 << 63:
+                        wide.add(k)
+        yield pd.DataFrame([(k, x.value, k in wide) for k, own in kinds.items() for x in own], columns=["k", "kind", "wide"])
+
+    plain = texts.toDF(*map(str, range(len(texts.columns))))  # names may have dots
+    found = plain.mapInPandas(run, "k int, kind string, wide boolean").groupBy("k", "kind").agg(F.max("wide").alias("wide")).collect()
+    kinds, wide = {}, {}
+    for k, name in enumerate(texts.columns):
+        own = {DataType(r["kind"]) for r in found if r["k"] == k}
+        common = DataType.NULL
+        for kind in sorted(own, key=lambda x: x.value):
+            common = common.coerce_to(kind)
+        if DataType.TIME in own and len(own - {DataType.NULL}) > 1:
+            common = DataType.STRING  # no timestamp holds a time alone
+        kinds[name] = DataType.STRING if common is DataType.NULL else common
+        wide[name] = kinds[name] is DataType.INTEGER and any(r["wide"] for r in found if r["k"] == k)
+    return kinds, wide
+
+
 def typed(texts: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """A table of texts with each column cast to the type that its first rows have (all rows, if sample is None).
 
-    The sample alone comes to the driver; the casts are expressions over the scan.
+    The sample alone comes to the driver, or what types the tasks found; the casts are expressions over the scan.
     """
     spark = texts.sparkSession
-    head = (texts if sample is None else texts.limit(sample)).collect()
-    kinds = {c: infer_common_type(r[c] for r in head) for c in texts.columns}
+    if sample is None:
+        kinds, wide = _all_kinds(texts)
+    else:
+        head = texts.limit(sample).collect()
+        kinds = {c: infer_common_type(r[c] for r in head) for c in texts.columns}
+        wide = {c: k is DataType.INTEGER and any(r[c] and abs(int(r[c])) >= 1 << 63 for r in head if (r[c] or "").strip()) for c, k in kinds.items()}
     if DataType.TIME in kinds.values():
         spark.conf.set("spark.sql.timeType.enabled", "true")
-    wide = {c: k is DataType.INTEGER and any(r[c] and abs(int(r[c])) >= 1 << 63 for r in head if (r[c] or "").strip()) for c, k in kinds.items()}
     return texts.select(*[as_type(c, k, wide[c]) for c, k in kinds.items()])
