@@ -6,16 +6,19 @@ d / (n + d) is the escape probability, spread over the others as the next shorte
 with exclusion, so that the probabilities of a context add up to 1). A text's code length under a language is
 the sum over its bytes; the shortest one wins.
 
-Bytes are folded first: A-Z to a-z, and all but the 62 most frequent to one symbol. The three symbols before a
-text count as a start symbol. Code lengths are held as integers of 1/1024 bit, so sums do not depend on how
-rows are split into batches.
-
-Fitting reads whole texts of at most ``per_language`` documents of each language (those of least hash, among the
-part of the hash range that is sure to hold them), counted on the executors; the driver gets counts of four-symbol sequences, at most
-64**4 a language. Scoring covers every byte of every text.
-
-Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing could be learned;
-ties go to the first language in code-point order; a null doc_id is neither learned from nor held out.
+All 256 byte values are symbols; A-Z count as a-z, and three zero bytes stand before a text. Code lengths are
+held as integers of 1/65536 bit, so sums do not depend on how rows are split into batches. Only sequences that were
+seen have entries, found by binary search.
+
+Fitting reads whole texts of at most ``per_language`` different documents of each language (different by doc_id or text, those of least hash, among the
+part of the hash range that is sure to hold them), counted on the executors. Of a language's sequences of four bytes
+the ``SEQUENCES`` most frequent are kept, or so many that a table of all languages' sequences by all languages has ``CELLS``
+cells at most: that bounds what the driver gets, what is broadcast and what a worker holds, whatever the texts and the number of
+languages. Scoring covers every byte of every text.
+
+Defined results: ``und`` with score 0 for a null or empty text, one without a letter, or if nothing could be learned;
+ties go to the first language in code-point order; a null doc_id is neither learned from nor held out; repeated rows count
+once in what is learned and are each predicted; a very long text is scored in parts, with the same sum; columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from .shared import give_back, small, small_batches
 PER_LANGUAGE = 256
 #: Tasks that count the sample, at most.
 FIT_TASKS = 8
-SYMBOLS = 64
-UNIT = 1024
+#: Four-byte sequences of a language that are kept, and cells of the largest table, at most.
+SEQUENCES = 1 << 16
+CELLS = 1 << 24
+UNIT = 1 << 16
 UNDETERMINED = "und"
 #: Bytes scored at a time, and rows returned at a time.
 CHUNK = 1 << 18
@@ -90,75 +95,73 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(merged)), pa.array(merged.index.to_numpy()), pa.array(merged.to_numpy())], ["lang", "gram", "n"])
 
 
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of wanted in the sorted table, whether they are there; any place if not)."""
+    at = np.searchsorted(table, wanted)
+    at[at == len(table)] = 0
+    return at, table[at] == wanted
+
+
+def _bits(p: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(p) * UNIT).astype(np.int32)
+
+
 class Model:
-    """Frozen code lengths: ``low`` for each symbol after any two, and for sequences seen after three, ``high``.
+    """Frozen code lengths, a column a language.
 
-    A sequence a b c x costs high[x seen after abc] or, unseen, escape[abc] + low[bcx].
+    ``after1`` has every byte after every byte. ``after2`` and ``after3`` have the sequences of three and four bytes that some
+    language has (``seen2``, ``seen3``, sorted), ``escape2`` and ``escape3`` their contexts (``context2``, ``context3``). A
+    sequence that none has costs its context's escape, or nothing if the context is new too, and what it costs in the next shorter one.
     """
 
     def __init__(self, counts: pd.DataFrame):
+        """counts: lang, gram (four bytes, the first one highest), n; each sequence of a language once."""
         self.languages = sorted(counts["lang"].unique())
-        last = np.bincount((counts["gram"].to_numpy() & 255).astype(np.int64), weights=counts["n"], minlength=256) if len(counts) else np.zeros(256)
-        last[0] = 0
-        frequent = [b for b in np.argsort(-last, kind="stable") if last[b] > 0][: SYMBOLS - 2]
-        table = np.full(256, SYMBOLS - 1, dtype=np.uint8)  # anything else
-        table[0] = 0  # the start
-        table[frequent] = np.arange(1, len(frequent) + 1, dtype=np.uint8)
-        self.symbol = table[_fold()]
-        gram = counts["gram"].to_numpy().astype(np.int64)
-        s = [table[gram >> k & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-        mapped = counts.assign(gram=s[0] << 18 | s[1] << 12 | s[2] << 6 | s[3]).groupby(["lang", "gram"], as_index=False)["n"].sum()
-        self.seen = np.unique(mapped["gram"].to_numpy()).astype(np.int64)
-        size = len(self.languages)
-        self.low = np.zeros((SYMBOLS**3, size), dtype=np.int32)
-        self.escape = np.zeros((SYMBOLS**3, size), dtype=np.int32)
-        self.high = np.zeros((len(self.seen), size), dtype=np.int32)
-        for k, lang in enumerate(self.languages):
-            own = mapped[mapped["lang"] == lang]
-            self._fit(k, own["gram"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.float64))
-
-    def _fit(self, k: int, gram: np.ndarray, n: np.ndarray) -> None:
-        below = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        for order in range(3):
-            c = np.bincount(gram & (SYMBOLS ** (order + 1) - 1), weights=n, minlength=SYMBOLS ** (order + 1)).reshape(-1, SYMBOLS)
+        every = counts["gram"].to_numpy().astype(np.int64)
+        self.seen3 = np.unique(every).astype(np.uint32)
+        self.seen2 = np.unique(every & 0xFFFFFF).astype(np.uint32)
+        self.context3, self.context2 = np.unique(self.seen3 >> 8), np.unique(self.seen2 >> 8)
+        made: dict[str, list] = {k: [] for k in ("after1", "after2", "escape2", "after3", "escape3")}
+        for lang in self.languages:
+            own = counts[counts["lang"] == lang]
+            for name, column in self._fit(own["gram"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.float64)).items():
+                made[name].append(column)
+        for name, columns in made.items():
+            setattr(self, name, np.stack(columns, axis=1) if columns else np.zeros((0, 0), dtype=np.int32))
+
+    def _fit(self, gram: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        below = np.full((1, 256), 1 / 256)
+        for order in range(2):
+            c = np.bincount(gram & (256 ** (order + 1) - 1), weights=n, minlength=256 ** (order + 1)).reshape(-1, 256)
             lower = np.tile(below, (len(c) // len(below), 1))
             total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
             rest = np.where(c > 0, 0, lower).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where(c > 0, c / (total + np.where(rest > 0, kinds, 0)), kinds / (total + kinds) * lower / rest)
             below = np.where(total > 0, p, lower)
-        bits = lambda p: np.rint(-np.log2(p) * UNIT).astype(np.int32)
-        self.low[:, k] = bits(below).ravel()
-        context, low = gram >> 6, below.ravel()[gram & (SYMBOLS**3 - 1)]
-        total = np.bincount(context, weights=n, minlength=SYMBOLS**3)
-        kinds = np.bincount(context, minlength=SYMBOLS**3)
-        rest = np.maximum(1 - np.bincount(context, weights=low, minlength=SYMBOLS**3), 1e-12)
-        known = total > 0
-        escape = np.zeros(SYMBOLS**3)
-        escape[known] = -np.log2(kinds[known] / (total[known] + kinds[known])) + np.log2(rest[known])
-        self.escape[:, k] = np.rint(escape * UNIT).astype(np.int32)
-        self.high[:, k] = self.escape[self.seen >> 6, k] + self.low[self.seen & (SYMBOLS**3 - 1), k]
-        self.high[np.searchsorted(self.seen, gram), k] = bits(n / (total[context] + kinds[context]))
-
-    def place(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each three symbols among the contexts seen, else 0; the row in ``high`` of each symbol after each context, or -1)."""
-        if not hasattr(self, "_place"):
-            contexts = np.unique(self.seen >> 6)
-            context = np.zeros(SYMBOLS**3, dtype=np.int32)
-            context[contexts] = np.arange(1, len(contexts) + 1, dtype=np.int32)
-            after = np.full((len(contexts) + 1) * SYMBOLS, -1, dtype=np.int32)
-            after[context[self.seen >> 6] * SYMBOLS + (self.seen & (SYMBOLS - 1))] = np.arange(len(self.seen), dtype=np.int32)
-            self._place = context, after
-        return self._place
-
-    def row(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The row in ``high`` of a symbol after three, or -1."""
-        context, after = self.place()
-        return after[context[before] * SYMBOLS + symbol]
+        out, below = {"after1": _bits(below).ravel()}, below.ravel()[self.seen2 & 0xFFFF]
+        for order, seen, contexts in ((2, self.seen2, self.context2), (3, self.seen3, self.context3)):
+            if order == 3:
+                below = below[np.searchsorted(self.seen2, seen & 0xFFFFFF)]
+            c = np.bincount(np.searchsorted(seen, gram & (256 ** (order + 1) - 1)), weights=n, minlength=len(seen))
+            context = np.searchsorted(contexts, seen >> 8)
+            by_context = lambda x: np.bincount(context, weights=x, minlength=len(contexts))  # noqa: B023, E731
+            total, kinds = by_context(c), by_context(c > 0)
+            rest = np.maximum(1 - by_context(np.where(c > 0, below, 0)), 1e-12)
+            known = total > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = kinds / (total + kinds)
+                escaped = np.where(known[context], share[context] / rest[context] * below, below)
+                p = np.where(c > 0, c / (total + kinds)[context], escaped)
+            escape = np.zeros(len(contexts))
+            escape[known] = np.log2(rest[known]) - np.log2(share[known])
+            out[f"after{order}"], out[f"escape{order}"] = _bits(p), np.rint(escape * UNIT).astype(np.int32)
+            below = p
+        return out
 
     def state(self) -> dict:
-        """The arrays alone, as a broadcast carries them; ``_place`` is made again by each worker and kept there."""
-        return {k: v for k, v in self.__dict__.items() if k != "_place"}
+        """The arrays alone, as a broadcast carries them."""
+        return dict(self.__dict__)
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -166,26 +169,30 @@ class Model:
         model.__dict__ = state
         return model
 
+    def chunk(self) -> int:
+        """Bytes scored at a time: fewer, the more languages there are."""
+        return max(8, CHUNK // max(1, len(self.languages) // 4))
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in units, a row for each text and a column for each language."""
-        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        out, chunk = np.zeros((len(texts), len(self.languages)), dtype=np.int64), self.chunk()
         group, held = [], 0
         first = 0
-        for i, text in enumerate(texts):  # texts together up to CHUNK bytes; a longer one goes alone, in parts
-            if held and held + len(text) > CHUNK:
-                out[first:i] = self._group(group)
+        for i, text in enumerate(texts):  # texts together up to a chunk; a longer one goes alone, in parts
+            if held and held + len(text) > chunk:
+                out[first:i] = self._group(group, chunk)
                 first, group, held = i, [], 0
             group.append(text)
             held += len(text)
         if group:
-            out[first:] = self._group(group)
+            out[first:] = self._group(group, chunk)
         return out
 
-    def _group(self, texts: list[bytes]) -> np.ndarray:
-        if len(texts) == 1 and len(texts[0]) > 2 * CHUNK:
+    def _group(self, texts: list[bytes], chunk: int) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > 2 * chunk:
             text, out = texts[0], 0
-            for at in range(0, len(text), CHUNK):
-                part = b"\0\0\0" + text[:CHUNK] if at == 0 else text[at - 3 : at + CHUNK]
+            for at in range(0, len(text), chunk):
+                part = b"\0\0\0" + text[:chunk] if at == 0 else text[at - 3 : at + chunk]
                 out = out + self._costs(np.frombuffer(part, dtype=np.uint8)).sum(axis=0, dtype=np.int64)
             return out[None, :]
         raw, starts = _padded(texts)
@@ -196,14 +203,25 @@ class Model:
 
     def _costs(self, raw: np.ndarray) -> np.ndarray:
         """Of each byte but the first three."""
-        x = self.symbol[raw].astype(np.int32)
-        if len(x) < 4:
-            return np.zeros((0, len(self.languages)), dtype=np.int32)
-        before = x[:-3] << 12 | x[1:-2] << 6 | x[2:-1]
-        at = self.row(before, x[3:])
-        costs = self.high[at]
-        new = np.flatnonzero(at < 0)
-        costs[new] = self.escape[before[new]] + self.low[(before[new] << 6 & (SYMBOLS**3 - 1)) | x[3:][new]]
+        x = _fold()[raw].astype(np.uint32)
+        if len(x) < 4 or not len(self.seen3):
+            return np.zeros((max(0, len(x) - 3), len(self.languages)), dtype=np.int32)
+        pair = x[:-1] << 8 | x[1:]
+        gram = pair[:-2] << 16 | pair[2:]
+        at, there = _find(self.seen3, gram)
+        costs = self.after3[at]
+        new = np.flatnonzero(~there)
+        if len(new):
+            gram = gram[new]
+            at, there = _find(self.context3, gram >> 8)
+            cost = self.escape3[at] * there[:, None]
+            at, there = _find(self.seen2, gram & 0xFFFFFF)
+            short = self.after2[at]
+            newer = np.flatnonzero(~there)
+            if len(newer):
+                at, there = _find(self.context2, gram[newer] >> 8 & 0xFFFF)
+                short[newer] = self.escape2[at] * there[:, None] + self.after1[gram[newer] & 0xFFFF]
+            costs[new] = cost + short
         return costs
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
@@ -221,18 +239,21 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from documents with a text, a language and a crc32 of the doc_id that is not 2 modulo 4."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(remainder() != 2)
-    many = small(labelled.groupBy("lang").agg(F.count("*").alias("n")))
-    place = F.xxhash64("doc_id")
+    key = F.xxhash64("doc_id", "text")
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(remainder() != 2).select("lang", "text", key.alias("key"))
+    different = labelled.select("lang", "key").distinct()
+    many = small(different.groupBy("lang").agg(F.count("*").alias("n")))
     # about four times as many as are wanted have a hash in this part of the range; the least of them are taken
     part = (F.lit(4.0 * per_language) / F.col("n") - 0.5) * F.lit(2.0**64)
-    drawn = labelled.select("lang", "doc_id").join(many, "lang").where(place.cast("double") <= part)
-    chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))).where(F.col("k") <= per_language)
-    sample = labelled.select("lang", "doc_id", "text").join(small(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
-    sample = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
+    drawn = different.join(many, "lang").where(F.col("key").cast("double") <= part)
+    chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= per_language)
+    sample = labelled.join(small(chosen.select("lang", "key")), ["lang", "key"])
+    sample = sample.groupBy("lang", "key").agg(F.min("text").alias("text"))  # a repeated row counts once
     # the sample is bounded, so a few tasks can count it and each sequence comes up in a few tasks only
     counts = sample.select("lang", "text").coalesce(FIT_TASKS).mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(counts.toPandas())
+    most = min(SEQUENCES, CELLS // max(1, many.count()) ** 2)
+    frequent = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    return Model(counts.withColumn("k", frequent).where(F.col("k") <= most).drop("k").toPandas())
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

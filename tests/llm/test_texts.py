@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -166,30 +166,93 @@ def test_language(spark, speakers):
     assert all(r["lang"] == r["lang_pred"] and 0.3 < r["score"] <= 1 for r in out)
 
 
-def test_code_lengths(spark, speakers):
-    """Against a plain model of the same counts, and the probabilities of a context add up to 1."""
-    import numpy as np
-
-    docs, rows = speakers
-    model = langid.fit(docs)
-    assert np.allclose(np.exp2(-model.low[:, 0].reshape(-1, 64) / langid.UNIT).sum(axis=1), 1, atol=1e-2)
-    for context in (model.seen[:: len(model.seen) // 50 + 1] >> 6):
-        total = 0.0
-        for x in range(64):
-            k = model.row(context, x)
-            bits = model.high[k, 0] if k >= 0 else model.escape[context, 0] + model.low[(context << 6 & (64**3 - 1)) | x, 0]
-            total += 2 ** (-bits / langid.UNIT)
-        assert abs(total - 1) < 0.02, context
-    texts = [r[1].encode() for r in rows[:20]] + [b"", b"a", "ñ".encode() * 3]
-    together = model.lengths(texts)
-    for k, text in enumerate(texts):
-        s = [0, 0, 0, *model.symbol[list(text)].tolist()]
-        plain = np.zeros(len(model.languages), dtype=np.int64)
-        for i in range(3, len(s)):
-            gram = s[i - 3] << 18 | s[i - 2] << 12 | s[i - 1] << 6 | s[i]
-            at = model.row(gram >> 6, gram & 63)
-            plain += model.high[at] if at >= 0 else model.escape[gram >> 6] + model.low[gram & (64**3 - 1)]
-        assert (together[k] == plain).all()
+def counted(texts):
+    """A model's counts of (lang, text), by the operator's own counting."""
+    import pandas as pd
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"lang": [x for x, _ in texts], "text": [t for _, t in texts]})
+    parts = [b.to_pandas() for b in langid._counts(iter([batch]))]
+    return pd.concat(parts).groupby(["lang", "gram"], as_index=False)["n"].sum()
+
+
+def plain_lengths(learned, text):
+    """Prediction by partial matching as it is defined: counts by context, probabilities by recursion."""
+    import math
+
+    fold = lambda t: [0, 0, 0, *(b + 32 if 65 <= b <= 90 else b for b in t.encode())]
+    out = {}
+    for lang in sorted({x for x, _ in learned}):
+        tables = [defaultdict(Counter) for _ in range(4)]
+        for s in (fold(t) for x, t in learned if x == lang):
+            for i in range(3, len(s)):
+                for k in range(4):
+                    tables[k][tuple(s[i - k : i])][s[i]] += 1
+
+        def p(k, context, x):
+            if k < 0:
+                return 1 / 256
+            seen = tables[k][tuple(context[3 - k :])]
+            if not seen:
+                return p(k - 1, context, x)
+            total = sum(seen.values()) + len(seen)
+            if x in seen:
+                return seen[x] / total
+            return len(seen) / total * p(k - 1, context, x) / (1 - sum(p(k - 1, context, y) for y in seen))
+
+        s = fold(text)
+        out[lang] = sum(-math.log2(p(3, s[i - 3 : i], s[i])) for i in range(3, len(s)))
+    return out
+
+
+def test_code_lengths():
+    """Against prediction by partial matching without tables or folding of sums, scripts of many bytes included."""
+    learned = [("de", "Der Übergang über die Brücke, der Fuß"), ("en", "The thing that the other thing thought"), ("ja", "日本語のテスト、日本の本"), ("ru", "Это тест. Этот тест прост"), ("en", "\0 and \0\0b")]
+    model = langid.Model(counted(learned))
+    assert model.languages == ["de", "en", "ja", "ru"]
+    texts = [t for _, t in learned] + ["", "a", "Ü", "the über", "日本", "тест日本the", "\0", "zzz\x7f\0\0", "Thing over the Fuß 本テ " * 5]
+    got = model.lengths([t.encode() for t in texts]) / langid.UNIT
+    for row, text in zip(got, texts):
+        plain = plain_lengths(learned, text)
+        assert row == pytest.approx([plain[x] for x in model.languages], abs=1e-3), text
+    langs, scores = model.predict([t.encode() for t in texts] + [None])
+    assert langs[:5] == [x for x, _ in learned] and langs[5] == langs[-1] == "und" and scores[-1] == 0
+
+
+def test_rare_scripts_are_told_apart():
+    """More byte values than a small alphabet holds: every language of a script of its own, and two of one script."""
+    rng = random.Random(4)
+    letters = [c for c in map(chr, range(0x400, 0x2000)) if c.isalpha()]
+    kinds = {f"s{k}": " ".join(letters[40 * k : 40 * k + 40]) for k in range(40)}
+    kinds |= {"t0": "абв где", "t1": "абг вде"}
+    learned = [(x, prose(rng, 60, k)) for x, k in kinds.items()]
+    model = langid.Model(counted(learned))
+    held = [(x, prose(rng, 20, k)) for x, k in kinds.items()]
+    assert model.predict([t.encode() for _, t in held])[0] == [x for x, _ in held]
+
+
+def test_repeated_ids_lose_no_language(spark):
+    rows = [(i % 5, f"der die und das Wort{i % 400} ist", "de") for i in range(3000)] + [(100 + i, f"the word{i} and this is it", "en") for i in range(300)]
+    rows += [(9, "le mot et la chose", "fr")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=16)
+    kept = {r["lang"] for r in docs.where(langid.remainder() != 2).select("lang").distinct().collect()}
+    assert model.languages == sorted(kept) and {"de", "en"} <= kept
+
+
+def test_held_out_accuracy(spark, speakers):
+    """Only documents that are not learned from, of a model that learned from few."""
+    docs, _ = speakers
+    model = langid.fit(docs, per_language=8)
+    out = langid.identify(docs.where(langid.remainder() == 2), model, ["lang"]).collect()
+    assert len(out) > 20 and sum(r["lang"] == r["lang_pred"] for r in out) >= 0.98 * len(out)
+
+
+def test_model_is_bounded(spark, speakers, monkeypatch):
+    monkeypatch.setattr(langid, "SEQUENCES", 50)
+    model = langid.fit(speakers[0])
+    assert len(model.seen3) <= 150 and len(model.languages) == 3
+    assert langid.identify(speakers[0], model, ["lang"]).where("lang = lang_pred").count() > 170
 
 
 def test_language_chunks(spark, speakers, monkeypatch):
