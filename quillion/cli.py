@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
 import time
 from pathlib import Path
@@ -46,6 +47,15 @@ def _given(args: argparse.Namespace) -> tuple[str | None, str]:
     return None, args.file_or_sql
 
 
+def _overflows(text: str) -> bool:
+    """Whether a terminal has no room for the text, which is then paged."""
+    if not sys.stdout.isatty():
+        return False
+    wide, high = shutil.get_terminal_size()
+    lines = text.splitlines()
+    return len(lines) > high or any(len(line) > wide for line in lines)
+
+
 def run_query(args: argparse.Namespace) -> None:
     source, sql = _given(args)
     began = time.perf_counter()
@@ -65,7 +75,7 @@ def run_query(args: argparse.Namespace) -> None:
     if args.output:
         Path(args.output).write_text(text, encoding="utf-8")
         print(f"Results written to {args.output}")
-    elif args.interactive and not args.no_interactive:
+    elif not args.no_interactive and (args.interactive or kind == "table" and _overflows(text)):
         import pydoc
 
         pydoc.pager(text)

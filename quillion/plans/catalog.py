@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from ..api import Query
 from ..functions import dialect
 from ..operators import relational as ops
 from ..operators.relational import Aggregate, Condition, SortKey
+from ..session import shared_folder
 from ..sources.resolve import resolve
 from ..streaming import events as streams
 
@@ -116,6 +116,15 @@ SQL = {
     "rollup": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "agg_filter": "SELECT l_returnflag, COUNT(*) FILTER (WHERE l_quantity > 25) AS big, SUM(l_quantity) FILTER (WHERE l_linestatus = 'F') AS qty FROM {lineitem} GROUP BY l_returnflag",
     "case_in_aggregate": "SELECT o_orderpriority, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) * 1.0 / COUNT(*) > 0.3 AS often FROM {orders} GROUP BY o_orderpriority",
+    "comments": """SELECT n_name, '-- no comment' AS t -- the name, and 'a literal'
+        FROM /* all of */ {nation} WHERE n_name <> '/* x */' -- LIMIT 1""",
+    "order_nulls_first": """SELECT k, x, row_number() OVER (PARTITION BY c ORDER BY x DESC NULLS FIRST, k) AS pos FROM
+        (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS x FROM {orders}) t""",
+    "win_distribution": """SELECT p_partkey, CAST(NTILE(4) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS BIGINT) AS quarter,
+        ROUND(PERCENT_RANK() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS below, ROUND(CUME_DIST() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS upto FROM {part}""",
+    "cube": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS top FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "grouping_sets": """SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag) AS BIGINT) AS g, COUNT(*) AS n FROM {lineitem}
+        GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())""",
     "semi_anti": "SELECT COUNT(*) AS n FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
 }
 
@@ -138,8 +147,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/quillion-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quillion-src-")
+    return f"{shared_folder(spark)}/quillion-{uuid.uuid4().hex}"
 
 
 # operators, one by one
@@ -213,7 +221,7 @@ def bound_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_csv(df: DataFrame, place: str) -> str:
-    df.coalesce(1).write.option("header", "true").csv(f"{place}/csv")
+    df.write.option("header", "true").csv(f"{place}/csv")
     return f"{place}/csv#csv"
 
 
@@ -267,6 +275,36 @@ def join_cross_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(spark=spark).sql(f"SELECT n_name, r_name FROM '{nation}' n LEFT JOIN '{region}' r ON n.n_regionkey = r.r_regionkey").df
 
 
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _written_csv(_table(spark, sf_dir, "nation"), _folder(spark)).removesuffix("#csv")
+    sql = f"SELECT n_name, r_name FROM read_csv('{nation}', header = true) n JOIN read_parquet('{sf_dir}/region.parquet') AS r ON n.n_regionkey = r.r_regionkey"
+    return Query(spark=spark).sql(sql).df
+
+
+def src_csv_odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that fit no type of the rows before them: fractions among whole numbers, texts among numbers."""
+    odd = "o_orderkey", "CASE WHEN o_orderkey % 997 = 3 THEN '7.5' ELSE CAST(o_custkey AS STRING) END AS f", "CASE WHEN o_orderkey % 991 = 5 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS t"
+    source = _written_csv(_table(spark, sf_dir, "orders").selectExpr(*odd), _folder(spark))
+    return Query(spark=spark).sql(f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, f, t FROM '{source}'").df
+
+
+def src_json_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records under a key that is looked for, and those of all of a list's entries."""
+    place = _folder(spark)
+    rows = _rows(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    plain = _text_file(spark.range(1), place, "plain", json.dumps({"status": "ok", "records": rows}))
+    nested = _text_file(spark.range(1), place, "nested", json.dumps({"pages": [{"rows": rows[:9]}, {"rows": rows[9:]}, {"other": 1}]}))
+    read = "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM '{}'"
+    return Query(spark=spark).sql(read.format(f"{plain}#json") + " UNION ALL " + read.format(f"{nested}#json:pages[].rows")).df
+
+
+def src_parquet_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _folder(spark)
+    for codec in CODECS:
+        _table(spark, sf_dir, "part").select("p_partkey", "p_name").write.option("compression", codec).parquet(f"{place}/{codec}")
+    return Query(spark=spark).sql(" UNION ALL ".join(f"SELECT p_partkey, p_name, '{c}' AS codec FROM '{place}/{c}#parquet'" for c in CODECS)).df
+
+
 def src_parquet_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year"))
@@ -282,6 +320,7 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(spark=spark).sql(" UNION ALL ".join(read.format(f"{place}/{kind}#{'jsonl' if kind == 'json' else kind}") for kind in ("csv", "json", "parquet"))).df
 
 
+CODECS = ("none", "snappy", "gzip", "zstd", "lz4")
 NATION = "CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey"
 NATION_XML = "CAST(`@n_nationkey` AS INTEGER) AS n_nationkey, `more.n_name` AS n_name, CAST(`more.n_regionkey` AS INTEGER) AS n_regionkey"
 ORDERS = "CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_totalprice, STRFTIME(o_orderdate, '%Y-%m-%d') AS day"
@@ -316,6 +355,13 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "unquoted_path": (unquoted_path, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "bound_source": (bound_source, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus"),
     "join_cross_format": (join_cross_format, "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"),
+    "table_functions": (table_functions, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "src_csv_odd_cells": (
+        src_csv_odd_cells,
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 3 THEN 7.5 ELSE o_custkey END::DOUBLE AS f, CASE WHEN o_orderkey % 991 = 5 THEN 'n/a' ELSE o_custkey::VARCHAR END AS t FROM orders",
+    ),
+    "src_json_found": (src_json_found, "SELECT n_nationkey, n_name FROM nation, range(2)"),
+    "src_parquet_codecs": (src_parquet_codecs, f"SELECT p_partkey, p_name, codec FROM part, (SELECT unnest({list(CODECS)}) AS codec) t"),
     "src_parquet_partitions": (
         src_parquet_partitions,
         "SELECT o_orderkey, o_totalprice, o_orderstatus, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) >= 1994",

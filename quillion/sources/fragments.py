@@ -18,11 +18,11 @@ def parse_source_fragment(source: str) -> tuple[str, str | None, int | str | Non
     kind, colon, table = fragment.partition(":")
     kind = kind.strip()
     if kind and kind not in FORMATS or not kind and not colon and fragment:
-        raise FragmentParseError(f"Unknown format '{kind}'. Supported formats: {', '.join(FORMATS)}")
+        raise FragmentParseError(f"'{kind}' is no format that can be read; these are: {', '.join(FORMATS)}")
     if not colon:
         return path, kind or None, None
     if not table.strip():
-        raise FragmentParseError("Table index cannot be empty after ':'")
+        raise FragmentParseError("a table's name or place must follow the colon")
     try:
         return path, kind or None, int(table)
     except ValueError:

@@ -11,6 +11,10 @@ import urllib.request
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+from pyspark.sql import SparkSession
+
+from ..session import shared_folder
+
 #: Bytes that the format is told from.
 HEAD = 8192
 TIMEOUT_S = 60
@@ -41,6 +45,15 @@ def download(url: str, folder: str | Path | None = None, force: bool = False) ->
     return place
 
 
+def placed(spark: SparkSession, local: Path) -> str:
+    """Where executors can read a downloaded file: on one machine the file itself, else a copy in the folder that all share."""
+    if spark.sparkContext.master.startswith("local["):
+        return local.as_uri()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillion-http/{local.name}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(local.as_uri()), place)
+    return place.toString()
+
+
 def clear_cache(url: str, folder: str | Path | None = None) -> None:
     cached_path(url, folder).unlink(missing_ok=True)
 

@@ -130,14 +130,14 @@ def read_xml(spark: SparkSession, path: str, element: str | None = None, sample:
     try:
         _exists(spark, path)
     except FileNotFoundError as e:
-        raise OSError(f"XML file not found: {path}") from e
+        raise OSError(f"there is no XML file at {path}") from e
     tag = (element or _repeating(_content(spark, path), path)).rsplit("/", 1)[-1]
     options = {"rowTag": tag, "attributePrefix": "@", "valueTag": "_text", "inferSchema": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     rows = spark.read.format("xml").options(**options).load(path)
     cells = dict(_flat(rows.schema, [], F.col))
     cells.pop("_corrupt", None)
     if not cells:
-        raise ValueError(f"No elements found matching '{tag}' in XML: {path}")
+        raise ValueError(f"{path} has no element '{tag}'")
     texts = rows.select(*[cells[c].cast("string").alias(c) for c in sorted(cells)])
     return typed(texts, sample)
 
@@ -153,7 +153,7 @@ def _repeating(content: bytes, path: str) -> str:
     except ET.ParseError as e:
         raise OSError(f"Failed to parse XML file {path}: {e}") from e
     if not tag:
-        raise ValueError(f"No repeating elements found in XML: {path}. Specify the element.")
+        raise ValueError(f"no element comes twice in {path}: name the one that is a row")
     return tag
 
 
@@ -191,9 +191,9 @@ def _unique(names: list[str]) -> list[str]:
 
 def _chosen(tables: list, table: int, path: str, kind: str) -> Any:
     if not tables:
-        raise ValueError(f"No tables found in {kind}: {path}")
+        raise ValueError(f"{path} has no {kind} table")
     if not -len(tables) <= table < len(tables):
-        raise ValueError(f"Table index {table} out of range: {kind} has {len(tables)} tables")
+        raise ValueError(f"{path} has {len(tables)} {kind} tables, none at place {table}")
     return tables[table]
 
 

@@ -48,7 +48,7 @@ def resolve(spark: SparkSession, source: str, **options: Any) -> DataFrame:
     path, kind, table = parse_source_fragment(source)
     if re.match(r"https?://", path):
         local = http.download(path, options.pop("cache_dir", None), options.pop("force_download", False))
-        kind, path = kind or suffix_format(path) or http.sniffed(local), local.as_uri()
+        kind, path = kind or suffix_format(path) or http.sniffed(local), http.placed(spark, local)
     elif path.startswith("s3://"):
         path = "s3a://" + path[len("s3://") :]
     kind = kind or suffix_format(path) or "csv"
