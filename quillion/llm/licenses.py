@@ -10,12 +10,14 @@ A licence inside a larger unit is found by windows of words. A template is sough
 with the whole text reach a * t / (2 - t); then windows that begin and end at its bigrams, within the size bounds, are
 counted as they slide. A window is listed where no unit of the same licence or of an equal coefficient overlaps it.
 
-Templates are full licence texts, headers of source files, and notices of one line (forms by licence names); their number
+Templates are full licence texts, headers of source files, identifier lines, and notices of one line (forms by licence names); their number
 is fixed, and they travel with the function. AGPL-3.0, EPL-2.0, Unlicense and CC-BY* are known by notices alone.
 Each document is judged by itself: no shuffle.
 
-Defined results: a null text has no units and no licence; of equal coefficients the larger template
-wins, then the first licence in code-point order; rows stay as they are, repeated or not.
+Defined results: a null, empty or blank text has no units and no licence; of equal coefficients the larger template
+wins, then the first licence in code-point order; rows stay as they are, repeated or not; a very long text is one unit besides its lines and
+paragraphs, cut into bigrams only where its size or what it has in common with a template allows; columns may have any names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -138,6 +140,7 @@ _paragraph = re.compile(r"\n[^\S\n]*\n")
 def templates() -> list[tuple[str, str]]:
     """(licence, text): each name in each form, the headers and the full texts."""
     notices = [(licence, form.format(name)) for licence, names in NAMES.items() for name in names for form in FORMS]
+    notices += [(licence, f"SPDX-License-Identifier: {licence}") for licence in dict.fromkeys([*NAMES, *TEXTS])]
     folder = Path(__file__).parent / "licence_texts"
     return notices + list(TEXTS.items()) + [(licence, (folder / f"{name}.txt").read_text("utf-8")) for licence, name in FILES.items()]
 

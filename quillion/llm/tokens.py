@@ -6,7 +6,8 @@ are merged again, so memory is bounded and results are not touched. Special stri
 token each, as the library has it by default.
 
 Defined results: a null text counts as an empty one, with 0 bytes and 0 tokens; rows stay as they are, repeated
-or not.
+or not, and each document is counted by itself, so that there are no ties; a very long text or word costs time in proportion, but for a logarithm; the columns kept may have any
+names but those of the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

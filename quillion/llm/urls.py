@@ -9,8 +9,9 @@ as many characters, as some rule has. Verdicts are made once per distinct (host,
 third of the rows share is expanded once; the join back to the pages is one that adaptive execution splits.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and the default
-verdict; a page that no rule fits has a null rule and the default verdict. Rows are kept as they are,
-repeated or not; other columns of the pages are ignored.
+verdict; a page that no rule fits has a null rule and the default verdict; of rules as long as each other the one with the
+longer host wins. Rows are kept as they are, repeated or not; a very long URL has no more expressions than the rules have lengths; other columns of
+the pages are ignored, whatever their names; an empty table of pages gives an empty result, one of rules the default verdict.
 """
 
 from __future__ import annotations

@@ -74,6 +74,13 @@ def test_licence_inside_a_document(spark):
     assert line[slice(*spans[2][0])] == "Licensed under the MIT License"
 
 
+@pytest.mark.parametrize("line", ["# SPDX-License-Identifier: {}", "/* spdx-license-identifier: {} */", "SPDX-License-Identifier: {}"])
+def test_licence_identifiers(line):
+    scanner = licenses.Scanner(licenses.templates())
+    for licence in licenses.NAMES:
+        assert scanner.match(line.format(licence))[2] == licence
+
+
 @pytest.mark.parametrize("licence", sorted(licenses.FILES))
 def test_full_licence_texts(licence):
     text = open(f"/usr/share/common-licenses/{licenses.FILES[licence]}", encoding="utf-8").read()
