@@ -9,11 +9,15 @@ that shares no factor with their number; so the points are evenly spaced and eve
 weights. A point falls into one source's part of the cumulative weights; a slot's rank among that source's slots is
 its place in the source's passes; and slots join blocks on (source, block).
 
-The plan has one row a source. A source's taken words are the whole words of its target. Documents are ranked in
+The lattice gives each source exactly its target's whole words; what the step decides is when: each part of a document has its slot, a document the slot
+at which it first comes up, and the mixed documents are written in the order of their slots, so that any run of them is close to the weights.
+
+The plan has one row a source, made without a task that holds all of them (see ``shared.running``). Documents are ranked in
 many buckets a source (see ``shared.ranked``), so a source that holds a third of all rows is never in one task.
 
-Defined results: a null text has no words, and a document without words takes none; a null source is a source of
-its own; repeated rows are documents of their own; an empty table gives an empty result.
+Defined results: a null text has no words, and a document without words takes none and has no slot; a null source is a source of
+its own; repeated rows and ids are documents of their own; documents of one hash, doc_id and size may stand in for each other; a very long
+document is many blocks' words; columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, ranked, small, stash
+from .shared import WORD, ranked, running, small, stash
 
 #: Words a block.
 BLOCK = 64
@@ -43,29 +47,24 @@ def words(text: str) -> Column:
 def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """sources (source_key, source, source_size) with weight and target; one row a source.
 
-    The targets are min(epochs * size, level * weight), with the level at which they add up to all words. By
-    rising size for a weight, sources are full up to the last one that the level does not reach.
+    The targets are min(epochs * size, level * weight), with the level at which they add up to all words. A level
+    that leaves out the sources known to be full fills more of them, until it fills none: levels only rise.
     """
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    cycle = F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS)))
+    cycle = F.pmod("nth", F.lit(len(WEIGHTS)))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (cycle + 1).cast("int")).cast("long")
-    cap = F.col("source_size") * epochs
-    by_fill = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    below = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    staged = (
-        sources.withColumn("weight", weight)
-        .withColumn("cap", cap)
-        .withColumn("all_words", F.sum("source_size").over(everything))
-        .withColumn("_full", F.coalesce(F.sum("cap").over(below), F.lit(0)))
-        .withColumn("_weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0)))
-    )
-    # a source is full if, with all before it full, its share of the rest is its cap at least
-    fits = (F.col("all_words") - F.col("_full")) * F.col("weight") < F.col("cap") * F.col("_weights")
-    staged = staged.withColumn("_open", F.max(fits.cast("int")).over(by_fill.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    level_words = F.max(F.when(F.col("_open"), F.col("all_words") - F.col("_full"))).over(everything)
-    level_weight = F.max(F.when(F.col("_open"), F.col("_weights"))).over(everything)
-    target = F.when(F.col("_open"), level_words * F.col("weight") / level_weight).otherwise(F.col("cap")).cast("double")
+    numbered = running(sources, [F.col("source").asc_nulls_last()], {"nth": F.lit(1)})
+    staged = stash(numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * epochs).drop("nth"), "weights")
+    rest = weights = 0
+    ratio = F.col("cap") / F.col("weight")
+    level, filled = -1.0, -1
+    while True:
+        full = ratio <= level
+        row = staged.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if not row[2] or row[3] == filled:
+            break
+        rest, weights, filled = row[0] - (row[1] or 0), row[2], row[3]
+        level = rest / weights
+    target = F.when(ratio <= level, F.col("cap")).otherwise(F.lit(rest) * F.col("weight") / F.lit(weights or 1)).cast("double")
     return staged.withColumn("target", target).select("source_key", "source", "source_size", "weight", "target")
 
 
@@ -73,15 +72,14 @@ def planned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """targets() with the words to take, full passes, the words after them, blocks a pass, slots and the first slot point."""
     take = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0).cast("long")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    return (
+    made = (
         sources.withColumn("take", take)
         .withColumn("passes", passes)
         .withColumn("tail", F.col("take") - F.col("passes") * F.col("source_size"))
         .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
         .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("tail") / block).cast("long"))
-        .withColumn("first", F.sum("slots").over(order) - F.col("slots"))
     )
+    return running(made, [F.col("source").asc_nulls_last()], {"first": F.col("slots")})
 
 
 def golden_step(slots: int) -> int:
@@ -146,42 +144,67 @@ def sizes(docs: DataFrame, *kept: Column) -> DataFrame:
 def mix(sized: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(the mix, the documents) of what sizes() returns.
 
-    The mix: slot, uid, at (first word of the document), n_words; a row for each part of a document in a slot.
-    The documents: uid, doc_id, source, size, source_size, target and taken, a row for each document.
+    The mix: slot, uid, pass, at (first word of the document), n_words; a row for each part of a document in a slot.
+    The documents: uid, doc_id, source, size, source_size, target, taken and first_slot, a row for each document.
     """
     sized = sized.select("uid", "doc_id", "source_key", "source", "size")
     plan = targets(sized.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size")), epochs)
     plan = stash(planned(plan, block), "plan")
-    at = stash(ranked(sized, ["source_key"], [F.col("doc_id"), F.col("size")], "size"), "streams")
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    at = stash(ranked(sized, ["source_key"], [F.col("doc_id"), F.col("size")], "size", shuffled), "streams")
 
     first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("size") - 1) / block)
     parts = at.where("size > 0").select("uid", "source_key", "before", "size", F.explode(F.sequence(first, last)).alias("block"))
     joined = parts.join(ranked_slots(plan, block), ["source_key", "block"])
     begin = F.greatest(F.col("before"), F.col("block") * block)
     end = F.least(F.col("before") + F.col("size"), F.col("block") * block + F.col("block_words"))
-    mixed = joined.select("slot", "uid", (begin - F.col("before")).alias("at"), (end - begin).alias("n_words")).where("n_words > 0")
-    taken = mixed.groupBy("uid").agg(F.sum("n_words").alias("taken"))
+    mixed = joined.select("slot", "uid", "pass", (begin - F.col("before")).alias("at"), (end - begin).alias("n_words")).where("n_words > 0")
+    taken = mixed.groupBy("uid").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     documents = (
         at.join(small(plan.select("source_key", "source_size", "target")), "source_key")
         .join(taken, "uid", "left")
-        .select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     )
     return mixed, documents
 
 
 def mixed_documents(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """docs as the mix takes them: once for each full pass, and the first words of a document that the last block cuts.
+    """docs as the mix takes them, in the order of their first slots: once for each full pass, and the first words of a document that the last block cuts.
 
     n_chars, if docs has it, is the new text's length. Documents without words are not taken.
     """
     sized = sizes(docs, F.struct("*").alias("row"))
-    _, documents = mix(sized, epochs=epochs)
-    taken = documents.where("taken > 0").select("uid", "taken")
+    mixed, _ = mix(sized, epochs=epochs)
+    taken = mixed.groupBy("uid", "pass").agg(F.sum("n_words").alias("words"), F.min("slot").alias("slot"))
     rows = sized.select("uid", "size", "row").join(taken, "uid")
-    passes = F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))
-    rows = rows.withColumn("words", F.explode(F.transform(passes, lambda p: F.least(F.col("taken") - p * F.col("size"), F.col("size")))))
     head = F.call_function("regexp_extract", F.col("row.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("row.text"))
-    rows = rows.select("row", text.alias("text"))
+    rows = rows.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid").select("row", text.alias("text"))
     made = {"text": F.col("text"), "n_chars": F.length("text")}
     return rows.select(*((made[c].cast(docs.schema[c].dataType) if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+#: The schedule, the streams and their join in SQL; fixed values as above, by index of the source.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+s1 AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS all_words FROM s0),
+s2 AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS below, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS above FROM s1
+       WINDOW w AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT arg_min(all_words - below, (cap / weight, k)) AS rest, arg_min(above, (cap / weight, k)) AS weights FROM s2 WHERE (all_words - below) * weight < cap * above),
+s3 AS (SELECT s2.*, CASE WHEN weights IS NULL OR cap / weight <= rest / weights THEN cap::DOUBLE ELSE rest * weight / weights END AS target FROM s2, lv),
+s4 AS (SELECT *, floor(target)::BIGINT AS take, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes, CAST(ceil(source_size / 64) AS BIGINT) AS blocks FROM s3),
+s5 AS (SELECT *, take - passes * source_size AS tail, passes * blocks + CAST(ceil((take - passes * source_size) / 64) AS BIGINT) AS slots FROM s4),
+s6 AS (SELECT *, sum(slots) OVER (ORDER BY k) - slots AS first FROM s5),
+n AS (SELECT coalesce(sum(slots), 0)::BIGINT AS total FROM s6),
+step AS (SELECT c AS step FROM (SELECT total, unnest(range(1, total + 1)) AS c FROM n) WHERE gcd(c, total) = 1 ORDER BY abs(c - round(total * ((sqrt(5.0) - 1) / 2))), c DESC LIMIT 1),
+points AS (SELECT slot, (slot * step) % total AS point FROM (SELECT total, unnest(range(total)) AS slot FROM n), step),
+placed AS (SELECT slot, k, passes, tail, blocks, source_size, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM points JOIN s6 ON point >= first AND point < first + slots),
+cut AS (SELECT slot, k, rank % blocks AS block, least(CASE WHEN rank // blocks < passes THEN source_size ELSE tail END - (rank % blocks) * 64, 64) AS words FROM placed),
+stream AS (SELECT u, doc_id, d.source, size, k, source_size, target, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h % b, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+           FROM (SELECT *, row_number() OVER () AS u, ceil(sqrt(count(*) OVER (PARTITION BY source)))::BIGINT AS b, ('0x' || substr(md5(concat_ws(':', doc_id, size)), 1, 15))::BIGINT AS h FROM d) d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+parts AS (SELECT u, k, before, size, unnest(range(before // 64, (before + size - 1) // 64 + 1)) AS block FROM stream WHERE size > 0),
+mixed AS (SELECT u, slot, least(before + size, parts.block * 64 + words) - greatest(before, parts.block * 64) AS n FROM parts JOIN cut ON parts.k = cut.k AND parts.block = cut.block),
+taken AS (SELECT u, sum(n)::BIGINT AS taken, min(slot) AS first_slot FROM mixed WHERE n > 0 GROUP BY u)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot FROM stream LEFT JOIN taken USING (u)
+"""

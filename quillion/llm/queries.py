@@ -38,7 +38,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(mixing.sizes(_table(spark, sf_dir, "documents")))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_urls": urls.ORACLE, "op7_search": search.ORACLE, "op8_vectors": vectors.ORACLE}
+    return {"op4_urls": urls.ORACLE, "op5_mixing": mixing.ORACLE, "op7_search": search.ORACLE, "op8_vectors": vectors.ORACLE}

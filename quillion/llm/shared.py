@@ -16,15 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or on one machine a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark.conf.get("quillion.checkpoint.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="quillion-")
             spark.conf.set("quillion.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -50,18 +50,32 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and lost executors lose nothing."""
+    return stashed(df, name)[0]
+
+
+def stashed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stash() and the path, for remove()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillion-{name}-{uuid.uuid4().hex}"
     if (noted := _noted.get()) is not None:
         noted.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 #: Bytes of an Arrow batch, and the setting of it that sessions begin with.
@@ -91,7 +105,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of the edges' graph; root is the component's smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each a minimum per node
-    (combined before the shuffle) and an equi-join that adaptive execution may split; a checkpoint cuts
+    (combined before the shuffle) and an equi-join that adaptive execution may split; a written table ends
     the lineage of every round. Rounds grow with the logarithm of a component's diameter. Nulls and
     loops are ignored; an empty edge table gives an empty result.
     """
@@ -104,22 +118,24 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             moved = links.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             moved = links.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return moved.where("a > b").distinct()
+        moved = moved.where("a > b")
+        return moved if large else moved.distinct()  # the next step's minima take repeated links as they are
 
     def state(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    now = cut(
-        edges.where(F.col(left) != F.col(right))
-        .select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-        .distinct()
+    spark = edges.sparkSession
+    now, path = stashed(
+        edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct(), "edges"
     )
     before = state(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, True)
-        now = cut(star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False))
+        old = path
+        now, path = stashed(star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        remove(spark, [old])
         after = state(now)
         if after == before:
             break
@@ -128,26 +144,41 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-#: Rows that small() lets be broadcast.
-FEW = 100_000
+#: Rows and written bytes that small() lets be broadcast.
+FEW, FEW_BYTES = 100_000, 4 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, with a broadcast hint if it has FEW rows at most; else joins shuffle it."""
-    kept = stash(df, "small")
-    return F.broadcast(kept) if kept.count() <= FEW else kept
-
-
-def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | None = None) -> DataFrame:
+    """df written to the shared folder, with a broadcast hint if it has FEW rows and FEW_BYTES at most; else joins shuffle it."""
+    kept, path = stashed(df, "small")
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    written = place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return F.broadcast(kept) if written <= FEW_BYTES and kept.count() <= FEW else kept
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df, written to the shared folder, with each sum over the rows before it in the order. No task holds all rows: ranges of the order
+    are summed by themselves, and one row a range tells what is before it."""
+    ranges = stash(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges alone
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.join(F.broadcast(starts), "_range")
+    return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("_range", *(f"_{n}" for n in sums))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | None = None, shuffled: Column | None = None) -> DataFrame:
     """Adds ``rank`` (0, 1, ... within the keys, in a shuffled order) and, with a weight, ``before`` (its sum over lower ranks).
 
-    The order is that of a hash of ``order``, cut into about sqrt(rows of the key) buckets, so that no task
+    The order is that of a hash of ``order`` (``shuffled``, if given), cut into about sqrt(rows of the key) buckets, so that no task
     ever holds a whole key: sums per bucket give each bucket's start, and ranks run inside a bucket. The
     result depends on the rows alone. keys must not be null. df is read three times; pass a stashed table.
     """
     amount = F.col(weight) if weight else F.lit(0).cast("long")
     spread = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("_buckets"))
-    dealt = df.join(small(spread), keys).withColumn("_hash", F.xxhash64(*order)).withColumn("_bucket", F.pmod("_hash", "_buckets"))
+    dealt = df.join(small(spread), keys).withColumn("_hash", F.xxhash64(*order) if shuffled is None else shuffled)
+    dealt = dealt.withColumn("_bucket", F.pmod("_hash", "_buckets"))
     starts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum(amount).alias("_w"))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
