@@ -8,21 +8,22 @@ rounded down; what is left over is filled largest first. Pieces are ranked withi
 executors, and a piece's rank says which copy of which pattern, and which place in it, it takes.
 
 Rests stay whole where patterns fill sequences without cutting them. Where lengths do not go together (many rests of a
-little over half a sequence, say), the program may also cut a rest in two, at a price of ``CUT`` sequences a cut: a
-column that meets one rest of a length and asks for one of each part's. Cuts fall on multiples of ``GRID`` ids, up to
-which checksums are kept; that of what follows is worked out from the two.
+little over half a sequence, say) and more than ``SLACK`` of the sequences could be saved, those with the largest gaps are given up: their
+rests are cut into parts of the sizes of the other sequences' gaps, and the program is solved again with the parts. Cuts fall on
+multiples of ``GRID`` ids, up to which checksums are kept; that of a part is worked out from the two at its ends.
 
 What the driver sees is bounded by the histogram (``capacity / unit`` lengths), never by the documents. A length
 that a third of the pieces share is ranked in many buckets (see ``shared.ranked``).
 
-Defined results: a null text is an empty one, whose document is the closing id alone; repeated rows are packed
-each; an empty table gives an empty result.
+Defined results: a null or empty text is the closing id alone; repeated rows and ids are packed each; a very long text is as many pieces as it
+needs; a null doc_id stays null; columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ CAPACITY = 2048
 UNIT = 8
 #: The gap to the linear program's bound at which generation stops.
 GAP = 2e-4
-#: Sequences that a cut must save, and ids between the places where a rest can be cut.
-CUT = 0.04
-GRID = 64
+#: The share of the sequences that is not worth a cut, and ids between the places where a rest can be cut.
+SLACK = 0.003
+GRID = 32
 #: The id that closes each document.
 CLOSING = 1
 
@@ -141,40 +142,24 @@ def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, gap: float = GAP, grid: int = 0, price: float = CUT, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
-    """(patterns as rows, how often each, {(length, first part): how often it is cut}): a solution of the linear program
-    that meets the demand of lengths 1..len(demand). grid: cuts fall on its multiples; 0 allows none."""
-    used = np.flatnonzero(demand > 0) if not grid else np.arange(len(demand))
-    if not demand.any():
-        return np.zeros((0, len(demand)), dtype=np.int64), np.zeros(0), {}
+def solve(demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns as rows, how often each): a solution of the linear program that meets the demand of lengths 1..len(demand)."""
+    used = np.flatnonzero(demand > 0)
+    if not len(used):
+        return np.zeros((0, len(demand)), dtype=np.int64), np.zeros(0)
     lengths, m = used + 1, len(used)
     need = demand[used].astype(np.float64)
     columns = [np.where(np.arange(m) == i, capacity // n, 0) for i, n in enumerate(lengths)]
-    costs, cuts = np.ones(m), [None] * m
     inverse = np.diag([1 / (capacity // n) for n in lengths])
     amount = inverse @ need
     scale, full = 1e-9 * need.sum(), np.zeros(capacity)
-    whole, first = np.meshgrid(np.arange(1, m + 1), np.arange(grid, m, grid) if grid else np.zeros(0, dtype=int), indexing="ij")
-    fits = first < whole
-    whole, first = whole[fits], first[fits]
     for _ in range(rounds):
-        dual = costs @ inverse
         full[:] = -1
-        full[lengths - 1] = dual
+        full[lengths - 1] = inverse.sum(axis=0)
         value, pattern = _knapsack(full, capacity)
-        cost, cut = 1.0, None
-        if value > 1 + gap:  # else, by Farley's bound, patterns can save a share of ``gap`` at most
-            column = pattern[lengths - 1].astype(np.float64)
-        else:
-            saved = dual[whole - 1] - dual[first - 1] - dual[whole - first - 1] - price if len(whole) else np.zeros(1)
-            best = int(saved.argmax())
-            if saved[best] <= gap:
-                break
-            cost, cut = price, (int(whole[best]), int(first[best]))
-            column = np.zeros(m)
-            column[cut[0] - 1] = 1
-            for part in (cut[1], cut[0] - cut[1]):
-                column[part - 1] -= 1
+        if value <= 1 + gap:  # by Farley's bound, patterns can save a share of ``gap`` at most
+            break
+        column = pattern[lengths - 1].astype(np.float64)
         direction = inverse @ column
         positive = direction > 1e-9
         if not positive.any():
@@ -188,29 +173,56 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP, grid: int = 0, pr
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        columns[out], costs[out], cuts[out] = column, cost, cut
-    amount = np.maximum(amount, 0)
-    plain = [k for k in range(m) if cuts[k] is None]
-    patterns = np.zeros((len(plain), len(demand)), dtype=np.int64)
-    patterns[:, used] = np.array([columns[k] for k in plain]).round().astype(np.int64).reshape(len(plain), m)
-    return patterns, amount[plain], {cuts[k]: float(amount[k]) for k in range(m) if cuts[k] is not None}
+        columns[out] = column
+    patterns = np.zeros((m, len(demand)), dtype=np.int64)
+    patterns[:, used] = np.array(columns).round().astype(np.int64)
+    return patterns, np.maximum(amount, 0)
 
 
-def choose_cuts(demand: np.ndarray, capacity: int, grid: int) -> list[tuple[int, int, int]]:
-    """[(length, first part, how many rests)], no more than there are of a length."""
-    left = demand.astype(np.int64).copy()
+def choose_cuts(demand: np.ndarray, capacity: int, grid: int) -> list[tuple[int, tuple[int, ...], int]]:
+    """[(length, parts to cut off, how many rests)]: parts, multiples of the grid, that fill the gaps of the sequences that stay."""
+    patterns, copies = whole_patterns(demand, capacity)
+    used = patterns @ np.arange(1, len(demand) + 1)
+    sequences = int(copies.sum())
+    if sequences + -int(used @ copies) // capacity <= SLACK * sequences:
+        return []
+    room = (capacity - used) // grid * grid
+    free, given = int(room @ copies), 0
+    gaps: Counter[int] = Counter()
+    donors: Counter[int] = Counter()
+    for k in np.argsort(-room, kind="stable"):
+        # so many copies are given up that their contents go into what the others leave
+        n = int(min(copies[k], max(0, free - given) // int(used[k] + room[k]))) if room[k] else 0
+        free, given = free - n * int(room[k]), given + n * int(used[k])
+        gaps[int(room[k])] += int(copies[k]) - n
+        for i in np.flatnonzero(patterns[k]):
+            donors[int(i) + 1] += n * int(patterns[k][i])
     out = []
-    for (length, first), n in sorted(solve(demand, capacity, grid=grid)[2].items(), reverse=True):
-        n = min(int(n + 1e-6), int(left[length - 1]))  # parts that are cut again are left whole
-        left[length - 1] -= n
-        if n:
-            out.append((length, first, n))
+    for length in sorted(donors, reverse=True):
+        groups: list[tuple[int, int, tuple[int, ...]]] = [(donors[length], length, ())]
+        while groups:
+            n, left, parts = groups.pop()
+            size = max((g for g in gaps if 0 < g < left and gaps[g] > 0), default=0)
+            if not n:
+                continue
+            if not size or (whole := min((g for g in gaps if g >= left and gaps[g] > 0), default=0)) and whole - left < grid:
+                fits = min((g for g in gaps if g >= left and gaps[g] > 0), default=0)
+                gaps[fits] -= min(n, gaps[fits])
+                if parts:
+                    out.append((length, parts, n))
+                continue
+            each = (left - 1) // size
+            served = min(n, gaps[size] // each)
+            if not served:
+                each, served = gaps[size], 1
+            gaps[size] -= served * each
+            groups += [(n - served, left, parts), (served, left - each * size, parts + (size,) * each)]
     return out
 
 
 def whole_patterns(demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, copies) that use each length 1..len(demand) exactly as often as demanded."""
-    patterns, amount, _ = solve(demand, capacity, gap)
+    patterns, amount = solve(demand, capacity, gap)
     copies = np.floor(amount + 1e-6).astype(np.int64)
     left = demand.astype(np.int64).copy()
     for k in range(len(patterns)):  # never more than there are, whatever the arithmetic rounded
@@ -258,8 +270,8 @@ def _histogram(pieces: DataFrame, units: int) -> np.ndarray:
     return demand
 
 
-def cut_rests(pieces: DataFrame, cuts: list[tuple[int, int, int]], unit: int) -> DataFrame:
-    """The pieces, with the first so many of each length in two parts."""
+def cut_rests(pieces: DataFrame, cuts: list[tuple[int, tuple[int, ...], int]], unit: int) -> DataFrame:
+    """The pieces, with the first so many of each length in parts."""
     table = {length: [c for c in cuts if c[0] == length] for length, _, _ in cuts}
     ends = {length: np.cumsum([c[2] for c in own]) for length, own in table.items()}
     names = PIECES.replace(" long", "").split(", ")
@@ -270,10 +282,12 @@ def cut_rests(pieces: DataFrame, cuts: list[tuple[int, int, int]], unit: int) ->
             for r in batch.to_pylist():
                 rows = [tuple(r[n] for n in names)]
                 if r["units"] in ends and r["marks"] is not None and r["rank"] < ends[r["units"]][-1]:
-                    first = table[r["units"]][int(np.searchsorted(ends[r["units"]], r["rank"], side="right"))][1] * unit
-                    (before,) = struct.unpack_from("<I", r["marks"], 4 * (first // GRID - 1))
-                    after = _rest_checksum(r["ids_crc32"], before, 4 * (r["length"] - first))
-                    rows = [(r["doc_id"], r["start"], first, before, r["doc_tokens"]), (r["doc_id"], r["start"] + first, r["length"] - first, after, r["doc_tokens"])]
+                    parts = table[r["units"]][int(np.searchsorted(ends[r["units"]], r["rank"], side="right"))][1]
+                    rows, at, before = [], 0, 0
+                    for to in [*(unit * int(x) for x in np.cumsum(parts)), r["length"]]:
+                        upto = struct.unpack_from("<I", r["marks"], 4 * (to // GRID - 1))[0] if to < r["length"] else r["ids_crc32"]
+                        rows.append((r["doc_id"], r["start"] + at, to - at, _rest_checksum(upto, before, 4 * (to - at)), r["doc_tokens"]))
+                        at, before = to, upto
                 for row in rows:
                     for column, value in zip(out, row):
                         column.append(value)
