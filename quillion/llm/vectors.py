@@ -3,9 +3,10 @@
 Unit vectors with cosine >= t are within eps = sqrt(2 - 2t) of each other, and no further apart on any set of
 orthogonal directions. The leading principal directions (of all vectors: sums of products made on the executors)
 carry a grid with cells of that width. Vectors are sorted by their cells, first direction first, and the
-sequence is cut into blocks. Two blocks can only hold a link if their boxes come within eps; such pairs are
-found by an equi-join on the first direction's cells, and each is one task's work. There the intervals are halved
-again and again; a pair of intervals whose boxes are more than eps apart is skipped, small ones are compared,
+sequence is cut into blocks. Intervals of the sequence are joined from the whole one down: a pair of intervals whose boxes, on
+all leading directions, are more than eps apart is skipped, the others are replaced by the pairs of their ``FAN`` parts (equi-joins on the
+parent, so that no key has more than FAN rows a pair), down to pairs of blocks. To a pair of blocks go only those vectors that come within eps of
+the other block's box, and each is one task's work. There the intervals are halved again and again in the same way; small ones are compared,
 in single precision with a margin first and then in double precision.
 
 Equal vectors are one point with a count, so a vector that a third of the rows share costs nothing more, and what leaves a
@@ -14,7 +15,8 @@ pairs is made.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components links with nothing;
 vectors of different lengths do not link; repeated rows link with each other; a row whose vec_id is
-null has a null component_id unless it is linked with one that has an id; an empty table gives an empty result.
+null has a null component_id unless it is linked with one that has an id; very long vectors make blocks of fewer; columns may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ DIRECTIONS = 12
 #: Components of the vectors of a block, about; and vectors of an interval that is not halved again.
 BLOCK = 1 << 19
 LEAF = 512
+#: Parts of an interval.
+FAN = 8
 
 
 def points(vectors: DataFrame, vector_id: str, vector: str) -> DataFrame:
@@ -112,17 +116,38 @@ def ordered(vectors: DataFrame, basis: dict[int, np.ndarray], eps: float, block:
     return stash(sorted_.join(F.broadcast(offsets), "part").withColumn("block", where.cast("long")).drop("part", "nth", "first"), "blocks")
 
 
-def block_pairs(rows: DataFrame, eps: float) -> DataFrame:
-    """size, a, b (a <= b): pairs of blocks whose boxes come within eps."""
+def _apart(one: F.Column, other: F.Column) -> F.Column:
+    """The square of the distance of two boxes, arrays of (low, high)."""
+    gaps = F.zip_with(one, other, lambda x, y: F.greatest(x["low"] - y["high"], y["low"] - x["high"], F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+
+
+def block_pairs(rows: DataFrame, eps: float, fan: int = FAN) -> DataFrame:
+    """size, a, b (a <= b), box_a, box_b: pairs of blocks whose boxes come within eps."""
     spread = rows.select("size", "block", F.posexplode("at")).groupBy("size", "block", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high"))
-    boxes = spread.groupBy("size", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("box"))
-    boxes = stash(boxes.withColumn("low", F.floor(F.col("box")[0]["low"] / eps)).withColumn("high", F.floor(F.col("box")[0]["high"] / eps)), "boxes")
-    left = boxes.select("size", F.col("block").alias("a"), F.col("box").alias("box_a"), F.explode(F.sequence("low", "high")).alias("cell"))
-    right = boxes.select("size", F.col("block").alias("b"), F.col("box").alias("box_b"), F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("cell"))
-    gap = F.aggregate(
-        F.zip_with("box_a", "box_b", lambda x, y: F.greatest(x["low"] - y["high"], y["low"] - x["high"], F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g
-    )
-    return left.join(right, ["size", "cell"]).where((F.col("a") <= F.col("b")) & (gap <= eps * eps * (1 + 1e-9))).select("size", "a", "b").distinct()
+    spread = stash(spread, "boxes")
+    last = spread.agg(F.max("block")).first()[0] or 0
+
+    def boxes(width: int) -> DataFrame:
+        """Of the intervals of so many blocks."""
+        node = F.floor(F.col("block") / width).cast("long")
+        sides = spread.groupBy("size", node.alias("node"), "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        box = F.transform(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))), lambda x: F.struct(x["low"], x["high"]))
+        return sides.groupBy("size", "node").agg(box.alias("box"))
+
+    width = 1
+    while width <= last:
+        width *= fan
+    whole = stash(boxes(width), "intervals")
+    pairs = whole.select("size", F.col("node").alias("a"), F.col("node").alias("b"), F.col("box").alias("box_a"), F.col("box").alias("box_b"))
+    while width > 1:
+        width //= fan
+        parts = stash(boxes(width), "intervals").withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
+        left, right = (parts.select("size", F.col("parent").alias(c), F.col("node").alias(f"{c}_part"), F.col("box").alias(f"box_{c}")) for c in "ab")
+        met = pairs.select("size", "a", "b").join(left, ["size", "a"]).join(right, ["size", "b"])
+        met = met.select("size", F.col("a_part").alias("a"), F.col("b_part").alias("b"), "box_a", "box_b")
+        pairs = stash(met.where((F.col("a") <= F.col("b")) & (_apart(F.col("box_a"), F.col("box_b")) <= eps * eps * (1 + 1e-9))), "pairs")
+    return pairs
 
 
 class _Forest:
@@ -149,6 +174,8 @@ class _Forest:
 
 def _linked(a: pd.DataFrame, b: pd.DataFrame, same: bool, cosine: float, eps: float, leaf: int) -> pd.DataFrame:
     """rid, other (smallest rid of its component here), links (rows linked) of the points that have links."""
+    if not len(a) or not len(b) and not same:
+        return pd.DataFrame({"rid": [], "other": [], "links": []}, dtype="int64")
     both = a if same else pd.concat([a, b], ignore_index=True)
     unit, at = _units(both["v"]), np.stack([np.asarray(x, dtype=np.float64) for x in both["at"]])
     single, weight, rid = unit.astype(np.float32), both["n"].to_numpy(), both["rid"].to_numpy()
@@ -203,11 +230,14 @@ def _linked(a: pd.DataFrame, b: pd.DataFrame, same: bool, cosine: float, eps: fl
 
 def links(rows: DataFrame, pairs: DataFrame, cosine: float, eps: float, leaf: int = LEAF) -> DataFrame:
     """rid, other, links: a row for each point of each pair of blocks in which it has links."""
-    pairs = small(pairs)
+    # a point far from the other block's box on the leading directions links with nothing there
+    near = lambda box: (F.col("a") == F.col("b")) | (_apart(F.transform("at", lambda x: F.struct(x.alias("low"), x.alias("high"))), box) <= eps * eps * (1 + 1e-9))
+    left_pairs = small(pairs.select("size", "a", "b", F.col("box_b").alias("box")))
+    right_pairs = small(pairs.where("a < b").select("size", "a", "b", F.col("box_a").alias("box")))
     own = rows.select("rid", "n", "v", "at", "size", "block")
-    left = own.withColumnRenamed("block", "a").join(pairs, ["size", "a"])
+    left = own.withColumnRenamed("block", "a").join(left_pairs, ["size", "a"]).where(near(F.col("box"))).drop("box")
     fresh = [F.col(c).alias(c) for c in ("rid", "n", "v", "at", "size")]  # columns of their own, for the cogroup
-    right = own.select(*fresh, F.col("block").alias("b")).join(pairs.where("a < b").select(*(F.col(c).alias(c) for c in ("size", "a", "b"))), ["size", "b"])
+    right = own.select(*fresh, F.col("block").alias("b")).join(right_pairs, ["size", "b"]).where(near(F.col("box"))).drop("box")
 
     def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         return _linked(x, y, key[1] == key[2], cosine, eps, leaf)
