@@ -89,18 +89,22 @@ class Query:
         text = sqltext.replace_sources(text, name_of)
         if self._bound is not None:
             own = {stem(self.source).lower(), ANY_SOURCE}
-            unknown = [n for n in sqltext.table_names(text) if n not in views.values() and not self._known(n)]
-            for name in unknown:
-                if name.lower() in own or len(unknown) == 1:
-                    self._bound.createOrReplaceTempView(name)
-            for name in own.intersection(n.lower() for n in sqltext.table_names(text)):
-                self._bound.createOrReplaceTempView(name)
+            names = sqltext.table_names(text)
+            unknown = [n for n in names if n not in views.values() and not self._known(n)]
+            for name in names:
+                if name.lower() in own or [name] == unknown:
+                    view = views[name] = f"{stem(self.source)}_{next(_numbers)}"
+                    self._bound.createOrReplaceTempView(view)
+                    text = sqltext.rename_table(text, name, view)
         try:
             return QueryResult(_distinct_names(self.spark.sql(sqltext.to_spark(text))))
         except ParseException as e:
             raise ValueError(f"Failed to parse SQL query: {e}") from e
         except AnalysisException as e:
             raise RuntimeError(f"Query failed: {e}") from e
+        finally:
+            for view in views.values():  # the plan has what they stand for
+                self.spark.catalog.dropTempView(view)
 
     def _known(self, name: str) -> bool:
         return self.spark.catalog.tableExists(name)

@@ -106,3 +106,17 @@ def test_shell(spark, people, tmp_path, monkeypatch, capsys):
     assert cli.main(["shell", people, "--history-file", str(tmp_path / "h")]) == 0
     out = capsys.readouterr()
     assert "Di" in out.out and "Error" in out.err and len((tmp_path / "h").read_text().splitlines()) == 2
+
+
+def test_bound_source_leaves_other_views_alone(spark, tmp_path):
+    """A user's view of the source's name stays as it is, no view is left behind, and columns know the source by its name."""
+    path = tmp_path / "people.csv"
+    path.write_text("name,age\nAnn,30\nBo,25\n")
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("people")
+    before = {t.name for t in spark.catalog.listTables()}
+    q = query(str(path), spark)
+    assert q.sql("SELECT people.name FROM people WHERE people.age > 26").to_list() == [{"name": "Ann"}]
+    assert q.sql("SELECT p.name FROM people p JOIN people AS o ON p.age < o.age").to_list() == [{"name": "Bo"}]
+    assert q.sql(f"SELECT COUNT(*) AS n FROM data JOIN '{path}' f ON f.age = data.age").to_list() == [{"n": 2}]
+    assert spark.sql("SELECT * FROM people").columns == ["x"] and {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("people")
