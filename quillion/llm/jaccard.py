@@ -1,141 +1,140 @@
-"""Texts whose sets of word shingles have a Jaccard similarity of a threshold or more: exact, by prefixes.
+"""Texts whose sets of word shingles have a Jaccard similarity of a threshold or more: min-hash bands, then whole sets.
 
-Two sets of similarity t have sizes a <= b with a >= t * b, and whatever order all shingles have, the first
-n - ceil(t * n) + 1 of each set (n its size) share one. So a text goes to the shingles of its prefix alone, and what
-meets there is compared by its whole sets. The order is that of the shingles' hashes, those common in a sample of the
-texts last; the sample decides only how much work is done.
+A text has ``BANDS`` keys, each of ``ROWS`` minima of its shingles under random permutations. Two sets of similarity s share a
+key with probability 1 - (1 - s ** ROWS) ** BANDS: all but 1.3e-7 of the pairs at 0.8, all but 7e-11 at 0.85. What shares a key
+is compared by the whole sets of its whole texts, so that nothing below the threshold is linked.
 
-Links are sought between components, not inside them: texts already joined are not compared. A shingle's texts are
-ranked; the first few are compared with all others, are done then, and the next few (twice as many) follow where the
-rest is not of one component yet. Groups of near copies so take a few comparisons a text, not one a pair.
+Links are sought between components, not inside them: texts already joined are not compared. Where a key's pairs across components are
+more than ``LINEAR`` times the texts, those of its n texts whose share of the hash range is under PIVOTS / n are compared with all
+others first, and are done then; ``GROWTH`` times as many follow, until the pairs left are that few and are all compared. So a group of
+near copies takes a few comparisons a text, not one a pair, and every pair that may matter has its turn. No key is ever held by one
+task: counts are combined before the shuffle, and the rest is equi-joins that adaptive execution splits.
 
 Defined results: words and shingles as in simhash.py, fewer than five words make one shingle; null, empty and blank
-texts have none and are linked to nothing here.
+texts have no keys and are linked to nothing here; an empty table gives no links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, give_back, small, small_batches, stash
+from .shared import components, give_back, remove, small, stash, stashed
 
-SEED = 42
 #: Fixed values of the pipeline's stage: words of a shingle, and the similarity as a fraction.
 SHINGLE = 5
 OVER, UNDER = 4, 5
-#: Texts of the sample, how many of them make a shingle common, and the first comparisons in a shingle's texts.
-SAMPLE, COMMON, PIVOTS = 2048, 4, 4
+BANDS, ROWS = 40, 5
+#: Shingles permuted at a time.
+CHUNK = 1 << 11
+#: A key's first comparisons, and how many times as many follow.
+PIVOTS, GROWTH = 2, 8
+#: Pairs that are compared at once, times the texts.
+LINEAR = 4
 
 
-def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
-    """The hashes of a text's different shingles, ascending."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    digest, width = xxhash.xxh64_digest, min(width, len(words))
-    hashes = b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)))])
-    return np.unique(np.frombuffer(hashes, dtype=np.int64))
+class Permutations(NamedTuple):
+    """Of 32 bits, which equal minima of different shingles cost a comparison, never a link."""
 
+    mask: np.ndarray
+    factor: np.ndarray
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """uid, shingles of uid, text."""
+    @classmethod
+    def make(cls, count: int = BANDS * ROWS, seed: int = 42) -> Permutations:
+        mask, factor = np.random.default_rng(seed).integers(0, 1 << 32, (2, count, 1), dtype=np.uint32)
+        return cls(mask, factor | np.uint32(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingles((x.as_py() or "").encode()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["uid", "shingles"])
-        give_back()
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        half = (hashes >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.mask), (1 << 32) - 1, dtype=np.uint32)
+        for at in range(0, len(half), CHUNK):
+            mixed = half[None, at : at + CHUNK] ^ self.mask
+            mixed *= self.factor
+            np.minimum(least, mixed.min(axis=1), out=least)
+        return least
 
-    return texts.select("uid", "text").mapInArrow(run, "uid long, shingles array<long>")
 
+def keys(minima: np.ndarray) -> np.ndarray:
+    """The keys of a text's bands, signed."""
+    rows, odd = minima.reshape(BANDS, ROWS).astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    made = np.arange(1, BANDS + 1, dtype=np.uint64) * odd
+    for k in range(ROWS):
+        made = (made ^ rows[:, k]) * odd
+        made ^= made >> np.uint64(29)
+    return made.view(np.int64)
 
-def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """sig, uid, size: a row for each shingle of a text's prefix."""
+
+def _similar(pairs: DataFrame, hashes) -> DataFrame:
+    """a, b of the pairs (p_uid, uid, a, b, x_text, y_text) that are similar. hashes: from the UTF-8 text to its different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, uids, sizes = [], [], []
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingles((text.as_py() or "").encode())
-                if not (n := len(own)):
-                    continue
-                known = np.isin(own, common, assume_unique=True)
-                length = n - -(-OVER * n // UNDER) + 1
-                sigs.append(np.concatenate([own[~known], own[known]])[:length])
-                uids.append(np.full(length, uid, np.int64))
-                sizes.append(np.full(length, n, np.int32))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, uids, sizes)], ["sig", "uid", "size"])
+            keep, last, held = [], None, None
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x = x.as_py()
+                if x != last:
+                    last, held = x, hashes(x.encode())
+                other = hashes(y.as_py().encode())
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(UNDER * both >= OVER * (len(held) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return texts.select("uid", "text").mapInArrow(run, "sig long, uid long, size int")
-
+    # few bytes for long work, so dealt to as many tasks as there are; a pivot that many texts meet goes to all of them
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(tasks, "uid").sortWithinPartitions("p_uid")
+    return dealt.select("a", "b", "x_text", "y_text").mapInArrow(run, "a long, b long")
 
-def _met(prefixes: DataFrame) -> DataFrame:
-    """The rows whose shingle has several texts, with their rank among them and their number n."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+def links(marks: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Callable[[bytes], np.ndarray], near: DataFrame) -> DataFrame:
+    """a, b: near and links of the names of similar texts, enough of them to join every component.
 
-        def several(frame: pd.DataFrame) -> pd.DataFrame:
-            sig = frame["sig"].to_numpy()
-            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            counts = np.diff(np.append(starts, len(sig)))
-            frame = frame.assign(rank=np.arange(len(sig)) - np.repeat(starts, counts), n=np.repeat(counts, counts))
-            return frame[frame["n"] > 1]
+    marks: uid, name, size (of the set), keys, a row for each different text; texts: from a table of uids to
+    uid, text; hashes: from a UTF-8 text to its different shingles; near: a, b, names joined already."""
+    dealt = marks.select("uid", F.explode("keys").alias("key"))
+    several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(several, "key").join(marks.select("uid", "name", "size"), "uid")
+    place = F.pmod(F.xxhash64("uid"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    met = stash(met.withColumn("place", place), "met")
+    found, roots, own = near.select("a", "b"), None, []
 
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if len(held) and held["sig"].iat[0] != held["sig"].iat[-1]:
-                last = int(np.searchsorted(held["sig"].to_numpy(), held["sig"].iat[-1]))  # the last shingle may go on in the next batch
-                yield several(held[:last])
-                held = held[last:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield several(held)
+    def rooted(df: DataFrame) -> DataFrame:
+        if roots is None:  # before the first comparisons each name is by itself
+            return df.withColumn("root", F.col("name"))
+        return df.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
 
-    return prefixes.repartition("sig").sortWithinPartitions("sig", "uid").mapInPandas(run, "sig long, uid long, size int, rank long, n long")
-
-
-def links(texts: DataFrame, names: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: names of similar texts, enough of them to join every component.
-
-    texts: uid, text, each text once; names: uid, name; roots: node, root, what is joined already."""
-    spark = texts.sparkSession
-    small_batches(spark)
-    every = max(1, texts.count() // SAMPLE)
-    sample = _sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)).select(F.explode("shingles").alias("sig"))
-    often = sample.groupBy("sig").count().where(F.col("count") >= COMMON).select("sig")
-    common = np.array([r[0] for r in often.collect()], dtype=np.int64)
-    met = _met(_prefixes(texts, common))
-    active = stash(met.join(names.select("uid", "name"), "uid"), "met")
-    found = spark.createDataFrame([], "a long, b long")
-    low, pivots = 0, PIVOTS
+    low, high, total = 0, PIVOTS, marks.count()
     while True:
-        now = active.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        now = now.where((F.col("rank") >= low) & (F.col("n") > low + 1))
-        mixed = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        active = stash(now.join(mixed, "sig", "left_semi").drop("root"), "active")
-        if active.isEmpty():
+        rest = rooted(met).where(F.col("place") * F.col("n") >= low)
+        shares = rest.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        mixed, path = stashed(shares.select("key", ((F.col("c") * F.col("c") - F.col("q")) / 2).alias("pairs")).where("pairs > 0"), "mixed")
+        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if not left:
             return found
-        now = active.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        first = now.where(F.col("rank") < low + pivots).select("sig", *(F.col(c).alias(f"p_{c}") for c in ("uid", "size", "rank", "root")))
+        if last := left <= LINEAR * total:
+            high = float("inf")
+        active = stash(rest.join(small(mixed.select("key")), "key").drop("root"), "active")
+        remove(marks.sparkSession, own)
+        own.append(path)
+        met = active
+        now = rooted(active)
+        first = now.where(F.col("place") * F.col("n") < high).select("key", *(F.col(c).alias(f"p_{c}") for c in ("uid", "name", "size", "place", "root")))
+        later = (F.col("place") > F.col("p_place")) | ((F.col("place") == F.col("p_place")) & (F.col("uid") > F.col("p_uid")))
         fits = UNDER * F.least("size", "p_size") >= OVER * F.greatest("size", "p_size")
-        pairs = first.join(now, "sig").where((F.col("rank") > F.col("p_rank")) & (F.col("root") != F.col("p_root")) & fits)
-        pairs = stash(pairs.select(F.least("uid", "p_uid").alias("x"), F.greatest("uid", "p_uid").alias("y")).distinct(), "pairs")
-        wanted = small(pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).distinct())
-        sets = stash(_sets(texts.join(wanted, "uid", "left_semi")).join(names, "uid"), "sets")
-        x, y = (sets.select(F.col("uid").alias(c), F.col("name").alias(f"{c}_name"), F.col("shingles").alias(f"{c}_set")) for c in "xy")
-        common_size = F.size(F.array_intersect("x_set", "y_set"))
-        similar = UNDER * common_size >= OVER * (F.size("x_set") + F.size("y_set") - common_size)
-        new = pairs.join(x, "x").join(y, "y").where(similar).select(F.col("x_name").alias("a"), F.col("y_name").alias("b")).distinct()
-        found = stash(found.union(new), "similar")
-        joined = found.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = stash(components(joined, "a", "b"), "roots")
-        low, pivots = low + pivots, 2 * pivots
+        pairs = first.join(now, "key").where(later & fits & (F.col("root") != F.col("p_root")))
+        pairs, pairs_path = stashed(pairs.select("p_uid", "uid", F.col("p_name").alias("a"), F.col("name").alias("b")).distinct(), "pairs")
+        wanted = pairs.select("uid").union(pairs.select("p_uid")).distinct()
+        written, texts_path = stashed(texts(small(wanted)), "compared")
+        x = written.select(F.col("uid").alias("p_uid"), F.col("text").alias("x_text"))
+        whole = pairs.join(x, "p_uid").join(written.select("uid", F.col("text").alias("y_text")), "uid")
+        found = stash(found.union(_similar(whole, hashes).distinct()), "similar")
+        remove(marks.sparkSession, [pairs_path, texts_path])
+        if last:
+            return found
+        roots = stash(components(found, "a", "b"), "roots")
+        low, high = high, high * GROWTH + PIVOTS

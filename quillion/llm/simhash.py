@@ -12,7 +12,8 @@ most 2 * (1 + 63 + 1953) of them whatever the input: no group grows with the dat
 spanning forest of the links leaves the task.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than
-three words make one shingle; repeated rows stay; a null doc_id stays and counts as the largest.
+three words make one shingle; repeated rows stay; a null doc_id stays and counts as the largest; a very long text is hashed in parts; of equal
+fingerprints one stands in for all; columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
+from .jaccard import SHINGLE
 from .shared import components, give_back, small, small_batches, stash
 
 SEED = 42
@@ -35,20 +37,29 @@ DISTANCE = 2
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of a UTF-8 text as a signed 64-bit integer."""
+def shingles(text: bytes, width: int = 3) -> np.ndarray:
+    """The hashes of a UTF-8 text's word shingles in order, repeats included, as big-endian unsigned integers."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    digest = xxhash.xxh64_digest
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, CHUNK):
+        return np.empty(0, ">u8")
+    digest, width, parts = xxhash.xxh64_digest, min(width, len(words)), []
+    for at in range(0, len(words) - width + 1, CHUNK):
         part = words[at : at + CHUNK + width - 1]
-        hashes = b"".join([digest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(width)))])
-        ones += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+        parts.append(b"".join([digest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(width)))]))
+    return np.frombuffer(b"".join(parts), dtype=">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes as a signed 64-bit integer; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of a UTF-8 text as a signed 64-bit integer."""
+    return majority(shingles(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -156,23 +167,63 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE)
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id (null last), the first of equals.
+def _different(text: bytes) -> np.ndarray:
+    return np.unique(shingles(text, SHINGLE).astype(np.uint64))
+
 
-    Links are those of near fingerprints and those of jaccard.py, five-word shingles of similarity 0.8 or more."""
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
-    marked = stash(fingerprints(rows.select(F.col("uid").alias("doc_id"), "row.text"), shingle), "fingerprints")
+def _marks(docs: DataFrame) -> DataFrame:
+    """id, no_id, k1, k2 (the text's hashes), fp, size (of the set of shingles) and keys of the columns id, text, k1, k2."""
+    permutations, keys_of = jaccard.Permutations.make(), jaccard.keys  # names of their own: a module is not sent to tasks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(4).cast(pa.binary() if not pa.types.is_large_string(batch.column(4).type) else pa.large_binary())
+            fps, sizes, keys = [], [], []
+            for text in texts:
+                hashes = shingles(text.as_py() or b"", SHINGLE)
+                own = np.unique(hashes.astype(np.uint64))
+                fps.append(majority(hashes))
+                sizes.append(len(own))
+                keys.append(keys_of(permutations.minima(own)) if len(own) else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "no_id", "k1", "k2", "fp", "size", "keys"])
+        give_back()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, "id long, no_id boolean, k1 long, k2 long, fp long, size long, keys array<long>")
+
+
+def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (null last).
+
+    Links are those of near fingerprints of five-word shingles, and between the components that these make those of
+    jaccard.py, whole sets of five-word shingles of similarity 0.8 or more. A text stands in for its copies; rows of the
+    same doc_id and text are one document, of which the first in the order of their JSON stays. Null, empty and blank texts are one
+    component. Columns may have any names; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever docs calls its columns
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    key = {"id": F.coalesce(doc_id.cast("long"), F.lit(0)), "no_id": doc_id.isNull(), "k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit(1), whole)}
+    rows = docs.toDF(*names).withColumns(key)
+    marked = stash(_marks(rows.select(*key, whole.alias("text"))), "marks")
+    marked = marked.withColumn("uid", F.xxhash64("k1", "k2"))
+    different = marked.groupBy("k1", "k2").agg(*(F.any_value(c).alias(c) for c in ("uid", "fp", "size", "keys")))
     near = stash(links(marked.select("fp").distinct(), distance), "near")
-    marks = rows.where("row.text IS NOT NULL").select("uid", F.xxhash64("row.text").alias("h"), F.length("row.text").alias("l"))
-    copied = marks.groupBy("h", "l").agg(F.min("uid").alias("least"), F.count("*").alias("n")).where("n > 1")
-    again = small(marks.join(copied, ["h", "l"]).where("uid <> least").select("uid"))
-    texts = rows.where("row.text IS NOT NULL").join(again, "uid", "left_anti").select("uid", F.col("row.text").cast("string").alias("text"))
-    similar = jaccard.links(texts, marked.select(F.col("doc_id").alias("uid"), F.col("fp").alias("name")), stash(components(near, "a", "b"), "roots"))
-    joined = components(near.select("a", "b").union(similar), "a", "b").select(F.col("node").alias("fp"), "root")
-    joined = stash(joined, "roots")
-    named = marked.join(joined, "fp", "left").select(F.col("doc_id").alias("uid"), F.coalesce("root", "fp").alias("root"))
-    named = stash(named.join(rows.select("uid", F.col("row.doc_id").alias("doc_id")), "uid"), "named")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first"))
-    kept = first.select(F.col("first.uid").alias("uid"))
-    gone = named.select("uid").join(kept, "uid", "left_anti")
-    return rows.join(small(gone), "uid", "left_anti").select("row.*")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        own = marked.join(wanted, "uid", "left_semi").groupBy("uid", "k1", "k2").agg(F.min(F.struct("no_id", "id")).alias("first")).select("uid", "k1", "k2", "first.*")
+        return rows.select(*key, whole.alias("text")).join(small(own), list(key)).select("uid", "text").dropDuplicates(["uid"])
+
+    similar = jaccard.links(different.select("uid", F.col("fp").alias("name"), "size", "keys"), texts, _different, near)
+    joined = components(similar, "a", "b").select(F.col("node").alias("fp"), "root")
+    rooted = marked.select(*key, "fp").join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = stash(rooted.groupBy("root", *key).agg(F.count("*").alias("n")), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("no_id", "id", "k1", "k2", "n")).alias("first")).select("first.*")
+    gone = named.select(*key).join(first, list(key), "left_anti")
+    again = first.where("n > 1").select(*key)
+    left = rows.join(small(gone), list(key), "left_anti")
+    again = small(again)
+    once = left.join(again, list(key), "left_anti").select(*names)
+    one = rows.join(again, list(key), "left_semi").groupBy(*key).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row")).select("row.*")
+    return once.unionByName(one).toDF(*docs.columns)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quillion.llm import jaccard, simhash
 
 
@@ -10,9 +12,8 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_stage_finds_all_of_similarity(spark, monkeypatch):
+def test_stage_finds_all_of_similarity(spark):
     """One changed word of 200 is similarity 0.95, four about 0.82: of each pair one text stays. Eight, 0.68: both do."""
-    monkeypatch.setattr(jaccard, "COMMON", 2)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     rows, kept = [], 0
@@ -48,9 +49,37 @@ def test_links_join_what_brute_force_joins(spark):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
-    none = spark.createDataFrame([], "node long, root long")
+    made = jaccard.Permutations.make()
+    rows = [(i, i, len(h), jaccard.keys(made.minima(h)).tolist()) for i, h in enumerate(simhash._different(t.encode()) for t in texts)]
+    marks = spark.createDataFrame(rows, "uid long, name long, size long, keys array<long>")
+    none = spark.createDataFrame([], "a long, b long")
     got = list(range(len(texts)))
-    for r in jaccard.links(df, df.selectExpr("uid", "uid AS name"), none).collect():
+    for r in jaccard.links(marks, lambda wanted: df.join(wanted, "uid", "left_semi"), simhash._different, none).collect():
         x, y = got[r["a"]], got[r["b"]]
         got = [min(x, y) if g in (x, y) else g for g in got]
     assert got == root and len(set(root)) < len(texts)
+
+
+def test_keys_are_shared_as_often_as_reckoned():
+    """One band of sets of similarity 0.8 is shared with probability 0.8 ** ROWS."""
+    rng = np.random.default_rng(1)
+    made, shared = jaccard.Permutations.make(), []
+    for _ in range(300):
+        h = rng.integers(0, 1 << 64, 180, dtype=np.uint64)
+        a, b = (jaccard.keys(made.minima(x)) for x in (h[:162], h[18:]))  # 144 of 180
+        shared.append(np.mean(a == b))
+    assert abs(np.mean(shared) - 0.8**jaccard.ROWS) < 0.02 and min(shared) > 0
+
+
+def test_representatives_odd(spark, odd_docs, empty_docs, clashing):
+    """One document of equal texts, nulls and blanks one component, the smallest id stays, a repeated row once."""
+    kept = simhash.representatives(odd_docs).collect()
+    texts = [r["text"] for r in kept]
+    assert len(texts) == len(set(texts)) and sum(not (t or "").strip() for t in texts) == 1
+    seen = {" ".join(r["text"].split()) for r in odd_docs.collect() if (r["text"] or "").strip()}
+    assert {" ".join(t.split()) for t in texts if (t or "").strip()} == seen
+    assert {r["doc_id"] for r in kept} == {0, 3, 4, 5, 6, 7, 9, 10, 11, None} | {r["doc_id"] for r in kept if r["text"] == "another text of the same id"}
+    again = simhash.representatives(clashing)
+    assert again.columns == clashing.columns and again.count() == len(kept)
+    empty = simhash.representatives(empty_docs)
+    assert empty.columns == empty_docs.columns and empty.count() == 0
