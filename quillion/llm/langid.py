@@ -8,7 +8,7 @@ the sum over its bytes; the shortest one wins.
 
 All 256 byte values are symbols; A-Z count as a-z, and three zero bytes stand before a text. Code lengths are
 held as integers of 1/65536 bit, so sums do not depend on how rows are split into batches. Only sequences that were
-seen have entries, found by binary search.
+seen have entries, those of four bytes in a hash table, the others found by binary search.
 
 Fitting reads whole texts of at most ``per_language`` different documents of each language (different by doc_id or text, those of least hash, among the
 part of the hash range that is sure to hold them), counted on the executors. Of a language's sequences of four bytes
@@ -95,6 +95,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(merged)), pa.array(merged.index.to_numpy()), pa.array(merged.to_numpy())], ["lang", "gram", "n"])
 
 
+#: Spreads sequences over a hash table.
+_ODD = np.uint32(0x9E3779B1)
+
+
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    """An open-addressed table of the places of different keys, -1 where it is empty; a quarter full at most."""
+    bits = max(8, (4 * len(keys)).bit_length())
+    table, left = np.full(1 << bits, -1, dtype=np.int32), np.arange(len(keys), dtype=np.int32)
+    slot = keys * _ODD >> np.uint32(32 - bits)
+    while len(left):
+        free = np.flatnonzero(table[slot[left]] < 0)
+        at, first = np.unique(slot[left[free]], return_index=True)
+        table[at] = left[free[first]]
+        left = np.delete(left, free[first])
+        slot[left] = (slot[left] + np.uint32(1)) & np.uint32(len(table) - 1)  # the next one, where it is taken
+    return table
+
+
+def _look_up(table: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _find, by the hash table of the keys."""
+    slot = wanted * _ODD >> np.uint32(32 - (len(table).bit_length() - 1))
+    at = table[slot]
+    there = (keys[at] == wanted) & (at >= 0)
+    left = np.flatnonzero(~there & (at >= 0))
+    while len(left):  # another key's slot: on to the next one
+        slot[left] = (slot[left] + np.uint32(1)) & np.uint32(len(table) - 1)
+        at[left] = found = table[slot[left]]
+        there[left] = (found >= 0) & (keys[found] == wanted[left])
+        left = left[~there[left] & (found >= 0)]
+    return at, there
+
+
 def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the places of wanted in the sorted table, whether they are there; any place if not)."""
     at = np.searchsorted(table, wanted)
@@ -121,6 +153,7 @@ class Model:
         self.seen3 = np.unique(every).astype(np.uint32)
         self.seen2 = np.unique(every & 0xFFFFFF).astype(np.uint32)
         self.context3, self.context2 = np.unique(self.seen3 >> 8), np.unique(self.seen2 >> 8)
+        self.places3 = _hashed(self.seen3)
         made: dict[str, list] = {k: [] for k in ("after1", "after2", "escape2", "after3", "escape3")}
         for lang in self.languages:
             own = counts[counts["lang"] == lang]
@@ -208,7 +241,7 @@ class Model:
             return np.zeros((max(0, len(x) - 3), len(self.languages)), dtype=np.int32)
         pair = x[:-1] << 8 | x[1:]
         gram = pair[:-2] << 16 | pair[2:]
-        at, there = _find(self.seen3, gram)
+        at, there = _look_up(self.places3, self.seen3, gram)
         costs = self.after3[at]
         new = np.flatnonzero(~there)
         if len(new):
