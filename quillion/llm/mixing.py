@@ -176,7 +176,7 @@ def mixed_documents(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     sized = sizes(docs, F.struct("*").alias("row"))
     mixed, _ = mix(sized, epochs=epochs)
     taken = mixed.groupBy("uid", "pass").agg(F.sum("n_words").alias("words"), F.min("slot").alias("slot"))
-    rows = sized.select("uid", "size", "row").join(taken, "uid")
+    rows = sized.select("uid", "size", "row").join(small(taken), "uid")
     head = F.call_function("regexp_extract", F.col("row.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("row.text"))
     rows = rows.repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid").select("row", text.alias("text"))
