@@ -6,7 +6,8 @@ is compared by the whole sets of its whole texts, so that nothing below the thre
 
 Links are sought between components, not inside them: texts already joined are not compared. Where a key's pairs across components are
 more than ``LINEAR`` times the texts, those of its n texts whose share of the hash range is under PIVOTS / n are compared with all
-others first, and are done then; ``GROWTH`` times as many follow, until the pairs left are that few and are all compared. So a group of
+others first, and are done then; ``GROWTH`` times as many follow, until the pairs left are that few and are all compared. Before that, the
+first text of each key of the first ``EARLY`` bands is compared with the key's others, which joins most of what belongs together. So a group of
 near copies takes a few comparisons a text, not one a pair, and every pair that may matter has its turn. No key is ever held by one
 task: counts are combined before the shuffle, and the rest is equi-joins that adaptive execution splits.
 
@@ -34,6 +35,8 @@ BANDS, ROWS = 40, 5
 CHUNK = 1 << 11
 #: A key's first comparisons, and how many times as many follow.
 PIVOTS, GROWTH = 2, 8
+#: Bands whose keys' first texts are compared before all others.
+EARLY = 4
 #: Pairs that are compared at once, times the texts.
 LINEAR = 4
 
@@ -96,10 +99,10 @@ def links(marks: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Cal
 
     marks: uid, name, size (of the set), keys, a row for each different text; texts: from a table of uids to
     uid, text; hashes: from a UTF-8 text to its different shingles; near: a, b, names joined already."""
-    dealt = marks.select("uid", F.explode("keys").alias("key"))
-    several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(several, "key").join(marks.select("uid", "name", "size"), "uid")
+    dealt = marks.select("uid", F.posexplode("keys").alias("band", "key"))
     place = F.pmod(F.xxhash64("uid"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    several = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
+    met = dealt.join(several, "key").join(marks.select("uid", "name", "size"), "uid")
     met = stash(met.withColumn("place", place), "met")
     found, roots, own = near.select("a", "b"), None, []
 
@@ -108,7 +111,7 @@ def links(marks: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Cal
             return df.withColumn("root", F.col("name"))
         return df.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
 
-    low, high, total = 0, PIVOTS, marks.count()
+    low, high, total = 0, 0, marks.count()  # the early comparisons first, then those up to PIVOTS
     while True:
         rest = rooted(met).where(F.col("place") * F.col("n") >= low)
         shares = rest.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -123,7 +126,8 @@ def links(marks: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Cal
         own.append(path)
         met = active
         now = rooted(active)
-        first = now.where(F.col("place") * F.col("n") < high).select("key", *(F.col(c).alias(f"p_{c}") for c in ("uid", "name", "size", "place", "root")))
+        pivot = F.col("place") * F.col("n") < high if high else (F.col("band") < EARLY) & (F.col("place") == F.col("least"))
+        first = now.where(pivot).select("key", *(F.col(c).alias(f"p_{c}") for c in ("uid", "name", "size", "place", "root")))
         later = (F.col("place") > F.col("p_place")) | ((F.col("place") == F.col("p_place")) & (F.col("uid") > F.col("p_uid")))
         fits = UNDER * F.least("size", "p_size") >= OVER * F.greatest("size", "p_size")
         pairs = first.join(now, "key").where(later & fits & (F.col("root") != F.col("p_root")))
