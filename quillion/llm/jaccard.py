@@ -4,10 +4,15 @@ A text has ``BANDS`` keys, each of ``ROWS`` minima of its shingles under random
 key with probability 1 - (1 - s ** ROWS) ** BANDS: all but 1.3e-7 of the pairs at 0.8, all but 7e-11 at 0.85. What shares a key
 is compared by the whole sets of its whole texts, so that nothing below the threshold is linked.
 
+A pair has its whole sets compared only if the texts' bits leave it open. Each shingle sets one of ``BITS`` bits of its text; a bit that x has and
+y has not is a shingle at least that y has not. So x has at least d(x, y) shingles of its own and y at least d(y, x), they share at most
+c = min(|x| - d(x, y), |y| - d(y, x)), and their similarity is c / (c + d(x, y) + d(y, x)) at most. Where that is under the threshold there
+is no link: the bound costs comparisons, never a link. It is a condition of the join, so such a pair is never a row; the join still looks at it.
+
 Links are sought between components, not inside them: texts already joined are not compared. Where a key's pairs across components are
-more than ``LINEAR`` times the texts, those of its n texts whose share of the hash range is under PIVOTS / n are compared with all
-others first, and are done then; ``GROWTH`` times as many follow, until the pairs left are that few and are all compared. Before that, the
-first text of each key of the first ``EARLY`` bands is compared with the key's others, which joins most of what belongs together. So a group of
+more than ``LINEAR`` times the texts, each key's central text, that whose keys have the most texts in all, is compared with the key's others first, which
+joins most of what belongs together. Then those of its n texts whose share of the hash range is under PIVOTS / n are compared with all others, and are done; ``GROWTH`` times
+as many follow, until the pairs left are that few or a round finds no link, and all that is left is compared. So a group of
 near copies takes a few comparisons a text, not one a pair, and every pair that may matter has its turn. No key is ever held by one
 task: counts are combined before the shuffle, and the rest is equi-joins that adaptive execution splits.
 
@@ -18,11 +23,12 @@ texts have no keys and are linked to nothing here; an empty table gives no links
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, give_back, remove, small, stash, stashed
@@ -35,8 +41,8 @@ BANDS, ROWS = 40, 5
 CHUNK = 1 << 11
 #: A key's first comparisons, and how many times as many follow.
 PIVOTS, GROWTH = 2, 8
-#: Bands whose keys' first texts are compared before all others.
-EARLY = 4
+#: Bits of a text that its shingles set.
+BITS = 1024
 #: Pairs that are compared at once, times the texts.
 LINEAR = 4
 
@@ -72,6 +78,34 @@ def keys(minima: np.ndarray) -> np.ndarray:
     return made.view(np.int64)
 
 
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a text's shingles, as signed longs."""
+    flags = np.zeros(BITS, dtype=bool)
+    flags[hashes % np.uint64(BITS)] = True
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
+#: A text's bits as columns of their own, which a join's condition reads fastest, and how many are set.
+WORDS = [f"bits{i}" for i in range(BITS // 64)]
+
+
+def _spread(marks: DataFrame) -> list[Column]:
+    """WORDS and ones of the column bits, if marks has it."""
+    if "bits" not in marks.columns:
+        return []
+    words = [F.get("bits", F.lit(i)) for i in range(len(WORDS))]
+    return [*(c.alias(name) for c, name in zip(words, WORDS)), reduce(Column.__add__, map(F.bit_count, words)).alias("ones")]
+
+
+def _open() -> Column:
+    """Whether the sizes and bits of two texts, those of one after p_, leave it open that they are similar.
+
+    With d(x, y) = ones(x) - both the bound c / (c + d(x, y) + d(y, x)) >= OVER / UNDER has each bit counted once."""
+    both = reduce(Column.__add__, (F.bit_count(F.col(c).bitwiseAND(F.col(f"p_{c}"))) for c in WORDS))
+    more = F.least(F.col("p_size") - F.col("p_ones"), F.col("size") - F.col("ones"))
+    return (UNDER + OVER) * both + (UNDER - OVER) * more >= OVER * (F.col("p_ones") + F.col("ones"))
+
+
 def _similar(pairs: DataFrame, hashes) -> DataFrame:
     """a, b of the pairs (p_uid, uid, a, b, x_text, y_text) that are similar. hashes: from the UTF-8 text to its different shingles."""
 
@@ -94,43 +128,57 @@ def _similar(pairs: DataFrame, hashes) -> DataFrame:
     return dealt.select("a", "b", "x_text", "y_text").mapInArrow(run, "a long, b long")
 
 
+def _central(now: DataFrame) -> DataFrame:
+    """Of each key the row whose text's keys have the most texts in all. now is read three times; pass a stashed table."""
+    weights = small(now.groupBy("uid").agg(F.sum("n").alias("weight")))
+    order = F.struct((-F.col("weight")).alias("least"), "place", "uid")
+    heads = now.select("key", "uid", "place").join(weights, "uid").groupBy("key").agg(F.min(order).alias("head"))
+    return now.join(heads.select("key", F.col("head.uid").alias("uid")), ["key", "uid"])
+
+
 def links(marks: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Callable[[bytes], np.ndarray], near: DataFrame) -> DataFrame:
     """a, b: near and links of the names of similar texts, enough of them to join every component.
 
-    marks: uid, name, size (of the set), keys, a row for each different text; texts: from a table of uids to
+    marks: uid, name, size (of the set), keys and perhaps bits, a row for each different text; texts: from a table of uids to
     uid, text; hashes: from a UTF-8 text to its different shingles; near: a, b, names joined already."""
-    dealt = marks.select("uid", F.posexplode("keys").alias("band", "key"))
+    dealt = marks.select("uid", F.explode("keys").alias("key"))
     place = F.pmod(F.xxhash64("uid"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    several = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
-    met = dealt.join(several, "key").join(marks.select("uid", "name", "size"), "uid")
+    several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sketched = marks.select("uid", "name", "size", *_spread(marks))
+    met = dealt.join(several, "key").join(sketched, "uid")
     met = stash(met.withColumn("place", place), "met")
-    found, roots, own = near.select("a", "b"), None, []
+    found, roots, own, joined = near.select("a", "b"), None, [], -1
 
     def rooted(df: DataFrame) -> DataFrame:
         if roots is None:  # before the first comparisons each name is by itself
             return df.withColumn("root", F.col("name"))
         return df.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
 
-    low, high, total = 0, 0, marks.count()  # the early comparisons first, then those up to PIVOTS
+    low, high, total = 0, 0, marks.count()  # the central texts first, then those up to PIVOTS
     while True:
-        rest = rooted(met).where(F.col("place") * F.col("n") >= low)
+        rest = rooted(met.where(F.col("place") * F.col("n") >= low))
+        if roots is not None:
+            rest, path = stashed(rest, "rest")
+            own.append(path)
         shares = rest.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
         mixed, path = stashed(shares.select("key", ((F.col("c") * F.col("c") - F.col("q")) / 2).alias("pairs")).where("pairs > 0"), "mixed")
         left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         if not left:
             return found
-        if last := left <= LINEAR * total:
+        before, joined = joined, found.count()
+        if last := left <= LINEAR * total or joined == before:
             high = float("inf")
-        active = stash(rest.join(small(mixed.select("key")), "key").drop("root"), "active")
+        now = stash(rest.join(small(mixed.select("key")), "key"), "active")
         remove(marks.sparkSession, own)
         own.append(path)
-        met = active
-        now = rooted(active)
-        pivot = F.col("place") * F.col("n") < high if high else (F.col("band") < EARLY) & (F.col("place") == F.col("least"))
-        first = now.where(pivot).select("key", *(F.col(c).alias(f"p_{c}") for c in ("uid", "name", "size", "place", "root")))
+        met = now.drop("root")
+        first = now.where(F.col("place") * F.col("n") < high) if high else _central(now)
+        first = first.select("key", *(F.col(c).alias(f"p_{c}") for c in (*sketched.columns, "place", "root")))
         later = (F.col("place") > F.col("p_place")) | ((F.col("place") == F.col("p_place")) & (F.col("uid") > F.col("p_uid")))
-        fits = UNDER * F.least("size", "p_size") >= OVER * F.greatest("size", "p_size")
-        pairs = first.join(now, "key").where(later & fits & (F.col("root") != F.col("p_root")))
+        later = later if high else F.col("uid") != F.col("p_uid")
+        fits = (F.col("root") != F.col("p_root")) & (UNDER * F.least("size", "p_size") >= OVER * F.greatest("size", "p_size"))
+        fits = fits & _open() if "ones" in sketched.columns else fits
+        pairs = first.join(now, "key").where(later & fits)
         pairs, pairs_path = stashed(pairs.select("p_uid", "uid", F.col("p_name").alias("a"), F.col("name").alias("b")).distinct(), "pairs")
         wanted = pairs.select("uid").union(pairs.select("p_uid")).distinct()
         written, texts_path = stashed(texts(small(wanted)), "compared")

@@ -90,13 +90,22 @@ def _clean(text: Column) -> Column:
     return F.translate(text, MARK + INNER, OTHER + OTHER)
 
 
-def prepared(docs: DataFrame, *kept: Column) -> DataFrame:
-    """uid, the columns kept, text (not null) and loud (it may have base spans), written to the shared folder."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _whole() -> Column:
+    """The text, empty if null."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _loud(text: Column) -> Column:
+    """Whether a text that is not null may have base spans."""
     loud = F.lit(False)
     for kind in PATTERNS:
-        loud = loud | _needs(F.col("text"), kind)
-    return stash(docs.select(F.monotonically_increasing_id().alias("uid"), *kept, text.alias("text")).withColumn("loud", loud), "texts")
+        loud = loud | _needs(text, kind)
+    return loud
+
+
+def prepared(docs: DataFrame, *kept: Column) -> DataFrame:
+    """uid, the columns kept, text (not null) and loud (it may have base spans), written to the shared folder."""
+    return stash(docs.select(F.monotonically_increasing_id().alias("uid"), *kept, _whole().alias("text")).withColumn("loud", _loud(F.col("text"))), "texts")
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
@@ -133,16 +142,19 @@ def _classes(df: DataFrame, name: str, count: str) -> DataFrame:
     return sets.select(name, count, F.xxhash64("x", "y", count).alias(f"{name}_class"))
 
 
-def disclosures(rows: DataFrame, spans: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """uid, term, kind: the terms of a document that disclose too much of one of its entities; written to the shared folder."""
-    n = rows.count()
+def disclosures(rows: DataFrame, spans: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, texts: DataFrame | None = None) -> DataFrame:
+    """uid, term, kind: the terms of a document that disclose too much of one of its entities; written to the shared folder.
+
+    texts: the column text of all documents, where rows has only those that may have base spans."""
+    texts = rows if texts is None else texts
+    n = texts.count()
     held = spans.select("uid", "entity").distinct()
     numbers = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < n))
     held = stash(held.join(small(numbers), "entity"), "entities")
     bound = lambda c: c * F.pow(F.lit(float(max(n, 1))) / c, 1 - generalise) * (1 + 1e-9)
     most = held.agg(F.coalesce(bound(F.max("n_entity").cast("double")), F.lit(0.0))).first()[0]
     touched = held.select("uid").distinct()
-    words = _terms(rows).groupBy("term").agg(F.count("*").alias("n_term"))  # every document counts
+    words = _terms(texts).groupBy("term").agg(F.count("*").alias("n_term"))  # every document counts
     rare = small(words.where((F.col("n_term") >= support) & (F.col("n_term") <= most)))
     has = stash(_terms(rows.where("loud").join(small(touched), "uid", "left_semi"), "uid").join(rare, "term"), "terms")
 
@@ -191,10 +203,10 @@ def term_spans(rows: DataFrame, spans: DataFrame, shown: DataFrame) -> DataFrame
     return both.where(~base & free).drop("left", "right")
 
 
-def all_spans(rows: DataFrame) -> DataFrame:
-    """uid, kind, start, stop, mark: base spans and those of terms."""
+def all_spans(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """uid, kind, start, stop, mark: base spans and those of terms; texts as in disclosures()."""
     spans = base_spans(rows)
-    added = term_spans(rows, spans, disclosures(rows, spans))
+    added = term_spans(rows, spans, disclosures(rows, spans, texts=texts))
     marks = F.array(*map(F.lit, PLACEHOLDERS))
     both = spans.select("uid", "kind", "start", "stop", F.lit(None).cast("string").alias("mark")).unionByName(added)
     return both.withColumn("mark", F.coalesce(F.element_at(marks, F.col("kind") + 1), "mark"))
@@ -251,10 +263,13 @@ def _rebuilt(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with the text sanitised, and n_chars its length if docs has it; a null text stays null."""
-    rows = prepared(docs, F.struct("*").alias("row"))
-    made = _rebuilt(rows, stash(all_spans(rows), "all-spans"))
-    loud = rows.where("loud").select("uid", "row").join(made, "uid", "left").select("row", F.coalesce("made", F.col("row.text").cast("string")).alias("text"))
-    rows = loud.unionByName(rows.where("NOT loud").select("row", F.col("row.text").cast("string").alias("text")))
+    """docs with the text sanitised, and n_chars its length if docs has it; a null text stays null.
+
+    Only documents that may have base spans are written in between; docs is read four times and must give the same rows each time."""
+    rows = prepared(docs.where(_loud(_whole())), F.struct("*").alias("row"))
+    made = _rebuilt(rows, stash(all_spans(rows, docs.select(_whole().alias("text"))), "all-spans"))
+    loud = rows.select("uid", "row").join(made, "uid", "left").select("row", F.coalesce("made", F.col("row.text").cast("string")).alias("text"))
+    quiet = docs.where(~_loud(_whole())).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = loud.unionByName(quiet)
     new = {"text": F.col("text"), "n_chars": F.length("text")}
     return rows.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -53,14 +53,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return stashed(df, name)[0]
 
 
-def stashed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """stash() and the path, for remove()."""
+def stashed(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
+    """stash() and the path, for remove(). compression: of the Parquet files, where it is not to be the session's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillion-{name}-{uuid.uuid4().hex}"
     if (noted := _noted.get()) is not None:
         noted.append(path)
     with _shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -172,24 +172,26 @@ def _different(text: bytes) -> np.ndarray:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """id, no_id, k1, k2 (the text's hashes), fp, size (of the set of shingles) and keys of the columns id, text, k1, k2."""
-    permutations, keys_of = jaccard.Permutations.make(), jaccard.keys  # names of their own: a module is not sent to tasks
+    """id, no_id, k1, k2 (the text's hashes), fp, size (of the set of shingles), keys and bits of the columns id, text, k1, k2."""
+    permutations, keys_of, bits_of = jaccard.Permutations.make(), jaccard.keys, jaccard.bits  # names of their own: a module is not sent to tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(4).cast(pa.binary() if not pa.types.is_large_string(batch.column(4).type) else pa.large_binary())
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, bits = [], [], [], []
             for text in texts:
                 hashes = shingles(text.as_py() or b"", SHINGLE)
                 own = np.unique(hashes.astype(np.uint64))
                 fps.append(majority(hashes))
                 sizes.append(len(own))
                 keys.append(keys_of(permutations.minima(own)) if len(own) else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "no_id", "k1", "k2", "fp", "size", "keys"])
+                bits.append(bits_of(own) if len(own) else [])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["id", "no_id", "k1", "k2", "fp", "size", "keys", "bits"])
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "id long, no_id boolean, k1 long, k2 long, fp long, size long, keys array<long>")
+    return docs.mapInArrow(run, "id long, no_id boolean, k1 long, k2 long, fp long, size long, keys array<long>, bits array<long>")
 
 
 def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -208,14 +210,14 @@ def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = docs.toDF(*names).withColumns(key)
     marked = stash(_marks(rows.select(*key, whole.alias("text"))), "marks")
     marked = marked.withColumn("uid", F.xxhash64("k1", "k2"))
-    different = marked.groupBy("k1", "k2").agg(*(F.any_value(c).alias(c) for c in ("uid", "fp", "size", "keys")))
+    different = marked.groupBy("k1", "k2").agg(*(F.any_value(c).alias(c) for c in ("uid", "fp", "size", "keys", "bits")))
     near = stash(links(marked.select("fp").distinct(), distance), "near")
 
     def texts(wanted: DataFrame) -> DataFrame:
         own = marked.join(wanted, "uid", "left_semi").groupBy("uid", "k1", "k2").agg(F.min(F.struct("no_id", "id")).alias("first")).select("uid", "k1", "k2", "first.*")
         return rows.select(*key, whole.alias("text")).join(small(own), list(key)).select("uid", "text").dropDuplicates(["uid"])
 
-    similar = jaccard.links(different.select("uid", F.col("fp").alias("name"), "size", "keys"), texts, _different, near)
+    similar = jaccard.links(different.select("uid", F.col("fp").alias("name"), "size", "keys", "bits"), texts, _different, near)
     joined = components(similar, "a", "b").select(F.col("node").alias("fp"), "root")
     rooted = marked.select(*key, "fp").join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stash(rooted.groupBy("root", *key).agg(F.count("*").alias("n")), "named")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillion.llm import jaccard, simhash
 
@@ -83,3 +84,49 @@ def test_representatives_odd(spark, odd_docs, empty_docs, clashing):
     assert again.columns == clashing.columns and again.count() == len(kept)
     empty = simhash.representatives(empty_docs)
     assert empty.columns == empty_docs.columns and empty.count() == 0
+
+
+def test_bound_of_bits_loses_no_link(spark):
+    """Sets of every similarity, long ones too: what is similar is left open, and of short ones far below the threshold nothing."""
+    rng = np.random.default_rng(2)
+    rows, wanted = [], []
+    for size in (1, 3, 40, 150, 900, 3000):
+        for own in (0, 0.03, 0.09, 0.11, 0.12, 0.3, 0.9):
+            h = np.unique(rng.integers(0, 1 << 64, 2 * size, dtype=np.uint64))[: 2 * size]
+            a, b = np.sort(rng.permutation(h)[:size]), None
+            kept = size - round(own * size)
+            b = np.unique(np.concatenate([rng.permutation(a)[:kept], np.setdiff1d(h, a)[: size - kept]]))
+            both = len(np.intersect1d(a, b))
+            wanted.append((both / (len(a) + len(b) - both), size))
+            rows.append((len(rows), len(a), jaccard.bits(a).tolist(), len(b), jaccard.bits(b).tolist()))
+    df = spark.createDataFrame(rows, "i long, size long, bits array<long>, p_size long, p_bits array<long>")
+    x = df.select("i", "size", *jaccard._spread(df.select("bits")))
+    y = df.select("i", F.col("p_size").alias("size"), F.col("p_bits").alias("bits"))
+    y = y.select("i", *(c.alias(f"p_{n}") for c, n in zip([F.col("size"), *jaccard._spread(y)], ["size", *jaccard.WORDS, "ones"])))
+    got = {r["i"]: r["open"] for r in x.join(y, "i").select("i", jaccard._open().alias("open")).collect()}
+    assert all(got[i] for i, (s, _) in enumerate(wanted) if s >= 0.8)
+    assert not any(got[i] for i, (s, size) in enumerate(wanted) if s < 0.7 and 3 < size <= 150)
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """Many texts of one template, most of them less alike than the threshold: few have their texts compared, and none is lost."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(240):
+        made = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            made[rng.randrange(len(made))] = rng.choice(words)
+        texts.append(" ".join(made))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and similarity(texts[a], texts[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    compared, similar = [], jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, hashes: compared.append(pairs.count()) or similar(pairs, hashes))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == set(root)
+    assert 40 < len(set(root)) < 200 and sum(compared) < 8 * len(texts)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillion.llm import pii
+from quillion.llm.shared import noting
 
 
 def luhn(digits):
@@ -157,3 +158,16 @@ def test_sanitise(spark, odd_docs, empty_docs, clashing):
         cleaned = pii.sanitise(given)
         assert cleaned.columns == given.columns and cleaned.count() == given.count()
         assert not [r for r in cleaned.collect() if "@" in (r["text"] or "")]
+
+
+def test_only_texts_that_may_have_spans_are_written(spark):
+    """Of the texts none is written twice, and those without personal data not at all; their terms count all the same."""
+    docs = [f"plain words number {'abcdefgh'[i % 8]}" for i in range(40)] + ["Ada a1@x.org words", "Ada a1@x.org", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    paths = []
+    with noting(paths):
+        made = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    texts = [p for p in paths if "quillion-texts-" in p]
+    assert [spark.read.parquet(p).count() for p in texts] == [2]
+    assert [made[i] for i in range(40)] == docs[:40] and made[42] is None
+    assert made[40] == " [EMAIL] words" and made[41] == " [EMAIL]"

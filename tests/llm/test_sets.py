@@ -402,3 +402,10 @@ def test_vectors_empty(spark):
     assert vectors.near_duplicates(df).count() == 0
     alone = spark.createDataFrame([(5, None), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vectors.near_duplicates(alone).collect())) == [(3, 0, 3, True), (5, 0, 5, True)]
+
+
+def test_mixed_rows_take_one_way_at_every_size(spark, odd_docs):
+    """Whole rows meet their slots in a shuffle, never by a broadcast: the shuffles of a small table grow in proportion."""
+    plan = mixing.mixed_documents(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    last = plan.split("SortMergeJoin")[0]
+    assert "SortMergeJoin [uid" in plan and "BroadcastHashJoin" not in last
